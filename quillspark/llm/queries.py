@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality, token_counts, toxicity, url_rules
+from quillspark.llm import near_dup, packing, quality, token_counts, toxicity, url_rules
 from quillspark.llm.common import crc_mod, table
 
 #: The rules that op2 judges by.
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -58,7 +62,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op5_toxicity": op5_toxicity, "op9_token_counts": op9_token_counts}
+    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op5_toxicity": op5_toxicity, "op7_near_dup": op7_near_dup, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
