@@ -100,18 +100,62 @@ def tail_sizes(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def _token_bytes(tokenizer_path: str, end_id: int):
-    """A function from text to the little-endian 32-bit ids of it, with the end id."""
-    tokenizer = chunks.load(tokenizer_path)
-    whole = lambda x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    look = chunks.Table(whole).__getitem__
-    end = np.array([end_id], dtype="<u4").tobytes()
+#: Texts that are tokenized together, so that unknown words come to the tokenizer in long runs.
+TOGETHER = 64
+#: Stands alone between words when they are encoded in one call; a word that holds it is encoded by itself.
+_BETWEEN = "\x01"
 
-    def ids(text: str | None) -> bytes:
-        parts = chunks.worded_chunks(text or "")
-        return (whole(text) if parts is None else b"".join(map(look, parts))) + end
 
-    return ids
+class TokenBytes:
+    """Little-endian 32-bit ids of texts, each with the end id, from a bounded table of words.
+
+    Words that the table lacks are encoded in one call, as a text of its own
+    with a mark between them. A word of letters with stops or commas behind it
+    is two pre-tokens, and so the sum of both.
+    """
+
+    def __init__(self, tokenizer_path: str, end_id: int, most: int = 600_000):
+        self.tokenizer = chunks.load(tokenizer_path)
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.known: dict[str, bytes] = {}
+        self.most = most
+        between = self._whole(_BETWEEN)
+        self.mark = int(np.frombuffer(between, dtype="<u4")[0]) if len(between) == 4 else None
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        joined = [w for w in words if _BETWEEN not in w and self.mark is not None]
+        if joined:
+            data = self._whole(f" {_BETWEEN} ".join(joined))
+            ends = 4 * np.flatnonzero(np.frombuffer(data, dtype="<u4") == self.mark)
+            if len(ends) == len(joined) - 1:
+                starts = [0, *(ends + 4).tolist()]
+                self.known.update(zip(joined, [data[s:e] for s, e in zip(starts, [*ends.tolist(), len(data)], strict=True)], strict=True))
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self._whole(w)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [chunks.worded_chunks(t or "") for t in texts]
+        missing = set().union(*[x for x in split if x]).difference(self.known)
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = set().union(*[x for x in split if x])
+        parts, alone = {}, set()
+        for w in missing:
+            stem = w.rstrip(".,")
+            if len(stem) < len(w) and stem.isalpha():
+                parts[w] = stem, w[len(stem) :]
+                alone.update(parts[w])
+            else:
+                alone.add(w)
+        self._learn(sorted(alone.difference(self.known)))
+        known = self.known
+        for w, (stem, tail) in parts.items():
+            known[w] = known[stem] + known[tail]
+        return [(self._whole(t) if x is None else b"".join(map(known.__getitem__, x))) + self.end for t, x in zip(texts, split, strict=True)]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] = LIMITS, end_id: int = 1, keep_tokens: bool = False) -> DataFrame:
@@ -131,7 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _token_bytes(tokenizer_path, end_id)
+        ids_of = TokenBytes(tokenizer_path, end_id)
         base = TaskContext.get().partitionId() << 32
         used = 0
         held: list[tuple] = []  # (id, doc_tokens, start, bytes) still to place
@@ -179,10 +223,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         id_type, waiting = pa.int64(), 0
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids_of(text)
-                held.append((i, len(data) // 4, 0, data))
-                waiting += len(data) // 4
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                for i, data in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
+                    held.append((i, len(data) // 4, 0, data))
+                    waiting += len(data) // 4
                 if len(held) >= BLOCK or waiting >= BLOCK_TOKENS:
                     waiting = 0
                     yield from rows(settle(False))

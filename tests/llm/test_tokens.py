@@ -49,6 +49,16 @@ def test_cache_restarts():
     assert [t[x] for x in ("a", "b", "cc", "ddd", "eeee", "a", "b")] == [9, 1, 2, 3, 4, 9, 1] and len(t) <= 4
 
 
+def test_token_bytes_are_those_of_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = chunks.load(path)
+    texts = [x or "" for x in ODD] + random_texts(800) + ["a\x01b \x01 c. \x01,", "word., word.. .,. é., x.a", "\x01"] * 2
+    for most in (600_000, 5):
+        ids_of = packing.TokenBytes(path, 1, most)
+        got = [x for at in range(0, len(texts), 50) for x in ids_of(texts[at : at + 50])]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def check_layout(rows, limits=packing.LIMITS):
     by = defaultdict(list)
     for r in rows:
