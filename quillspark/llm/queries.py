@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_dup, packing, quality, substring_dedup, token_counts, toxicity, url_rules
+from quillspark.llm import decontaminate, near_dup, packing, quality, secrets, substring_dedup, token_counts, toxicity, url_rules
 from quillspark.llm.common import crc_mod, table
 
 #: The rules that op2 judges by.
@@ -47,6 +47,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda x: x["kind"])
+    n = [F.size(F.filter(kinds, (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return out.select("doc_id", *n, F.sha2(secrets.listed("spans", base=True).cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
@@ -55,6 +62,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.size("items") >= 2).alias("contaminated"))
+
+
 OP2_SQL = r"""
 WITH parts AS (
   SELECT page_id, instr(coalesce(url, ''), '://') AS at, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -67,7 +80,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op7_near_dup": op7_near_dup, "op9_token_counts": op9_token_counts}
+    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_near_dup": op7_near_dup, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
