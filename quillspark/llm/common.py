@@ -39,6 +39,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of a table that is broadcast at most; larger ones are joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
+
+
+def sized(small: DataFrame, name: str) -> DataFrame:
+    """Store a table that is probably small, measure it, and mark it for broadcast only within the bounds above."""
+    kept = stored(small, name)
+    size = F.lit(16)
+    for c in kept.columns:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head()
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else kept
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of a value's text, modulo ``modulus``; null ids count as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import sized, stored
 
 #: Words, before A-Z are lower-cased (the letters A-Z are no separators then).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,7 +60,7 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> list[DataFrame]:
     return [found if blocks <= 1 else found.filter(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == b) for b in range(max(1, blocks))]
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keyed: bool = False) -> DataFrame:
     """One row for each input row: id, n_words, hits (start and length of each occurrence of a window), n_hit (words inside), items (ids, sorted).
 
     Every word of every document probes the broadcast prefixes; a partner is
@@ -71,7 +71,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str
     Null and empty texts have no words, and items without words no window.
     Items with a null id mark words as hit but are not listed; repeated items
     count once. Null document ids and repeated rows stay; other columns are
-    ignored; empty tables give no row, or rows without hits.
+    ignored; empty tables give no row, or rows without hits. ``keyed`` gives
+    one row for equal rows, with the hash and length of the text.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = prefixes(slim, windows_of(items, size, item_col, item_text_col))
@@ -88,7 +89,18 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str
         met = words.join(F.broadcast(block), "key", "left").filter(F.col("word").isNull() | (F.col("off").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("w")) & same))
         own = met.select("id", "h", "l", F.when(F.col("word").isNull(), F.col("pos")).alias("n"), F.when(F.col("off").isNotNull(), F.struct(start.alias("start"), F.col("len").alias("length"))).alias("hit"), "items")
         parts = own if parts is None else parts.unionAll(own)
+    # rows that are equal in id and text meet here
     by_row = parts.groupBy("id", "h", "l").agg(F.max("n").alias("n_words"), (F.count("n") / len(blocks)).cast("int").alias("copies"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    if keyed:
+        return by_row
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     out = by_row.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "hits", F.size(covered).cast("long").alias("n_hit"), "items", "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which windows of fewer than ``least_items`` items occur."""
+    found = benchmark_hits(docs, items, size, id_col, text_col, keyed=True).filter(F.size("items") >= least_items)
+    gone = sized(found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("l").alias("_l")), "gone")
+    text = F.col(text_col).cast("string")
+    return docs.join(gone, (F.xxhash64(text) == F.col("_h")) & F.length(text).eqNullSafe(F.col("_l")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")

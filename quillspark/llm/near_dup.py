@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import as_bytes, stored
+from quillspark.llm.common import as_bytes, sized, stored
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -173,6 +173,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that are near duplicates of a smaller id. Of rows that repeat an id one stays."""
+    found = near_duplicates(docs, words, percent, id_col, text_col)
+    gone = sized(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    repeated = sized(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().filter("count > 1").select("_id"), "repeated")
+    if repeated.isEmpty():
+        return rest
+    many = rest.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("_n = 1").drop("_n")
+    return rest.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionAll(many)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_near_dup": op7_near_dup, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_near_dup": op7_near_dup, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import sized, stored
 
 #: Kinds in the order in which spans at one place are listed. The first three are reported wherever they stand.
 KINDS = ("assign", "access", "hex", "user", "blob", "endpoint")
@@ -91,7 +91,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return out.alias("w").join(over, same, "left_anti").select("id", "h", "l", "kind", "start", "end")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, keyed: bool = False) -> DataFrame:
     """One row for each input row: id, spans (array of start, kind, end, sorted by start, then kind).
 
     Assignments, access identifiers and long hexadecimal runs are reported
@@ -99,13 +99,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts that make a credential of them stand within ``scope`` characters.
 
     Null and empty texts have no spans; null ids and repeated rows stay; other
-    columns are ignored; an empty table gives no row.
+    columns are ignored; an empty table gives no row. ``keyed`` gives one row
+    for equal rows, with the hash and length of the text.
     """
     found = stored(candidates(docs, id_col, text_col), "candidates")
     added = linked(found, scope).select("id", "h", "l", "kind", "start", "end", F.lit(0).cast("long").alias("copies"))
     told = found.filter(F.col("kind") <= 2).unionAll(added)
     span = F.when(F.col("kind") >= 0, F.struct("start", "kind", "end"))
     by_row = told.groupBy("id", "h", "l").agg(F.max(F.when(F.col("kind") == -1, F.col("copies"))).alias("copies"), F.array_sort(F.collect_list(span)).alias("spans"))
+    if keyed:
+        return by_row
     out = by_row.select(F.col("id").alias(id_col), "spans", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return out.drop("copy")
 
@@ -115,3 +118,19 @@ def listed(spans: str, base: bool = False) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     own = F.filter(spans, lambda x: x["kind"] <= 2) if base else F.col(spans)
     return F.array_join(F.transform(own, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """All rows and columns of ``docs``; in the text, ``mark`` stands for every span. Overlapping spans are one."""
+    found = find_secrets(docs, id_col, text_col, scope, keyed=True).filter(F.size("spans") > 0)
+    spans = sized(found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("l").alias("_l"), F.col("spans").alias("_spans")), "spans")
+    text = F.col(text_col).cast("string")
+    met = docs.join(spans, (F.xxhash64(text) == F.col("_h")) & F.length(text).eqNullSafe(F.col("_l")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def add(done: Column, x: Column) -> Column:
+        fresh = F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"))
+
+    made = F.aggregate("_spans", none, add, lambda d: F.concat(d["out"], F.substr(text, (d["at"] + 1).cast("int"))))
+    return met.withColumn(text_col, F.when(F.col("_spans").isNotNull(), made).otherwise(text)).select(*docs.columns)

@@ -240,6 +240,24 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     return train(texts, np.array(rows["_y"].to_pylist(), dtype=np.float64), rows["_l"].to_pylist())
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text stays below the threshold of its language. A map; edges as in ``score``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            at_text = batch.schema.get_field_index(text_col)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                s = m.scores([word_buckets(t) for t in as_bytes(part.column(at_text))])
+                langs = part.column(batch.schema.get_field_index(lang_col)).to_pylist() if lang_col else [None] * len(s)
+                keep = s < np.array([m.thresholds.get(x, CUT) for x in langs])
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """One row for each input row: id, score, lang, threshold of the row's language, rejected.
 
