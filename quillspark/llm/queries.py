@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, near_dup, packing, quality, secrets, substring_dedup, token_counts, toxicity, url_rules
+from quillspark.llm import decontaminate, near_dup, packing, quality, search, secrets, substring_dedup, token_counts, toxicity, url_rules
 from quillspark.llm.common import crc_mod, table
 
 #: The rules that op2 judges by.
@@ -59,6 +59,11 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter(F.col("doc_id") % 50 == 0), k=10)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -81,7 +86,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_near_dup": op7_near_dup, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate, "pipeline": corpus_pipeline.run}
+    return {"op1_quality": op1_quality, "op2_url_rules": op2_url_rules, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_secrets": op6_secrets, "op7_near_dup": op7_near_dup, "op8_search": op8_search, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
