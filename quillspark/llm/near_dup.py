@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     tried, turn = pairs, 0
     while not large.isEmpty():
         turn += 1
-        known = large.join(marks, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        # stored, as it is read twice: for the buckets of several components, and for their members
+        known = stored(large.join(marks, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "known")
         mixed_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         large = stored(known.join(mixed_keys, "key", "left_semi"), "mixed")
         first = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", "key", F.lit(HUBS * turn + k)).alias("h"), "id", "n", "component")).alias(f"h{k}") for k in range(HUBS)])
