@@ -36,6 +36,8 @@ def as_expr(value: Any) -> Expr:
 def _frame(value: Any) -> DataFrame | None:
     if isinstance(value, DataFrame):
         return value
+    if isinstance(value, (Expr, Column)):  # a column has any attribute
+        return None
     return value.to_df() if hasattr(value, "to_df") else None
 
 
@@ -462,40 +464,31 @@ def max_(arg) -> Agg:
 
 
 class OrderedSet(Expr):
-    """percentile_cont, percentile_disc or mode, WITHIN GROUP (ORDER BY the expression)."""
+    """percentile_cont, percentile_disc or mode, WITHIN GROUP (ORDER BY a column name or SQL expression)."""
 
-    def __init__(self, name: str, arg, fraction: float | None = None, down: bool = False):
-        self.parts = name, arg, fraction
-        value = as_expr(arg).column
-        if name == "mode":
-            # of equally frequent values, the first in the order
-            super().__init__(F.mode(value, True) if not down else -F.mode(-value, True))
-            return
-        if not 0 <= fraction <= 1:
+    def __init__(self, name: str, arg: str, fraction: float | None = None, way: str = "ASC"):
+        if fraction is not None and not 0 <= fraction <= 1:
             raise ValueError("the fraction lies between 0 and 1")
-        # descending at p is ascending at 1 - p for the continuous form; the discrete one needs the mirrored values
-        if name == "percentile_cont":
-            super().__init__(F.percentile(value, 1 - fraction if down else fraction))
-        else:
-            f = F.lit(float(fraction))
-            super().__init__(-F.call_function("percentile_disc", -value, f) if down else F.call_function("percentile_disc", value, f))
+        self.parts = name, arg, fraction
+        # of equally frequent values, mode takes the first in the order
+        super().__init__(F.expr(f"{name}({'' if fraction is None else float(fraction)}) WITHIN GROUP (ORDER BY {arg} {way})"))
 
     def asc(self) -> OrderedSet:
         return OrderedSet(*self.parts)
 
     def desc(self) -> OrderedSet:
-        return OrderedSet(*self.parts, down=True)
+        return OrderedSet(*self.parts, way="DESC")
 
 
-def percentile_cont(fraction: float, arg) -> OrderedSet:
+def percentile_cont(fraction: float, arg: str) -> OrderedSet:
     return OrderedSet("percentile_cont", arg, fraction)
 
 
-def percentile_disc(fraction: float, arg) -> OrderedSet:
+def percentile_disc(fraction: float, arg: str) -> OrderedSet:
     return OrderedSet("percentile_disc", arg, fraction)
 
 
-def mode(arg) -> OrderedSet:
+def mode(arg: str) -> OrderedSet:
     return OrderedSet("mode", arg)
 
 

@@ -142,7 +142,7 @@ class Entity:
         for p, c in self.columns.items():
             if c.compute is not None:
                 made = F.expr(c.compute) if isinstance(c.compute, str) else c.compute(df)
-                df = df.withColumn(p, getattr(made, "column", made))
+                df = df.withColumn(p, made if isinstance(made, SparkColumn) else made.column)
         return df
 
     def write(self, frame: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.expr import as_expr
+
 
 def batched_rows(df: DataFrame, size: int) -> Iterator[list[dict]]:
     """Lists of ``size`` rows, one partition at a time on the driver."""
@@ -40,7 +42,7 @@ class Pipeline:
     def map(self, f: Callable[[dict], dict] | list, schema: str | None = None) -> Pipeline:
         """Columns to select, or a function of a row dictionary with the schema of what it returns."""
         if not callable(f):
-            return Pipeline(self.df.select(*[getattr(c, "column", c) for c in f]))
+            return Pipeline(self.df.select(*[as_expr(c).column for c in f]))
         target = self.df.sparkSession.createDataFrame([], schema).schema
         from pyspark.sql.pandas.types import to_arrow_schema
 
