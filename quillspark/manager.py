@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import time
 import uuid
 from collections import OrderedDict, defaultdict
@@ -606,6 +607,16 @@ class EntityManager:
         yield buffer
         buffer.flush()
 
+    def transactional(self, work: Callable) -> Callable:
+        """Decorator: work(buffer, ...) runs in a unit of work."""
+
+        @functools.wraps(work)
+        def run(*args, **more):
+            with self.transaction() as buffer:
+                return work(buffer, *args, **more)
+
+        return run
+
     def with_tenant(self, value):
         return tenant(value)
 

@@ -199,10 +199,9 @@ class SelectQuery:
         value = rows.select(F.col(sub_column or rows.columns[0]).alias("__in"))
 
         def step(df: DataFrame) -> DataFrame:
-            facts = value.agg(F.count("*").alias("__n"), F.count("__in").alias("__known"))
             rest = df.join(value, F.col(name) == F.col("__in"), "left_anti")
-            # one row of two counts
-            return rest.join(F.broadcast(facts), F.lit(True)).filter((F.col("__n") == 0) | (F.col(name).isNotNull() & (F.col("__n") == F.col("__known")))).drop("__n", "__known")
+            everything, known = value.agg(F.count("*")).scalar(), value.agg(F.count("__in")).scalar()
+            return rest.filter((everything == 0) | (F.col(name).isNotNull() & (everything == known)))
 
         return self._step(step)
 
