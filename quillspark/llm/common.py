@@ -39,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Remove what ``stored`` has written. Results that still read from it must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes and rows of a table that is broadcast at most; larger ones are joined by a shuffle.
 BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 
