@@ -44,7 +44,7 @@ def _frequencies(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFra
 
 
 def prefixes(docs: DataFrame, windows: DataFrame) -> list[DataFrame]:
-    """key, off, len, first and last word in lower case, wid, win, items: each window under its necessary prefix, in blocks of bounded size.
+    """key, off, len, first and last word in lower case, joined words, wid, win, items: each window under its necessary prefix, in blocks of bounded size.
 
     All words of a window are necessary, so the prefix of the words ordered by
     rarity is the rarest one. Windows with a word that no document has fall out.
@@ -54,7 +54,7 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> list[DataFrame]:
     counts = _frequencies(docs, vocabulary, size <= BLOCK_BYTES)
     each = windows.select("wid", F.posexplode("win").alias("off", "word")).select("wid", "off", F.lower("word").alias("key"))
     rarest = each.join(counts, "key", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off")).alias("r")).filter("r.n > 0")
-    found = stored(rarest.join(windows, "wid").select("wid", "r.key", "r.off", F.size("win").alias("len"), F.lower(F.element_at("win", 1)).alias("first"), F.lower(F.element_at("win", -1)).alias("last"), "win", "items"), "prefixes")
+    found = stored(rarest.join(windows, "wid").select("wid", "r.key", "r.off", F.size("win").alias("len"), F.lower(F.element_at("win", 1)).alias("first"), F.lower(F.element_at("win", -1)).alias("last"), F.array_join("win", " ").alias("joined"), "win", "items"), "prefixes")
     text = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * (F.size("win") + F.size("items")) + 40
     blocks = -(-(found.agg(F.sum(text)).head()[0] or 0) // BLOCK_BYTES)
     return [found if blocks <= 1 else found.filter(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == b) for b in range(max(1, blocks))]
@@ -77,19 +77,18 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = prefixes(slim, windows_of(items, size, item_col, item_text_col))
     start = F.col("pos") - F.col("off")
-    # The filter of the join compares a window's ends only: it runs for every word, and a small one stays compiled.
+    # The filter runs for every word, so it is small enough to stay compiled: the ends of a window, then all its words as
+    # one text. The document's words don't leave it with the rows that pass.
     ends = (F.lower(F.get("w", start)) == F.col("first")) & (F.lower(F.get("w", start + F.col("len") - 1)) == F.col("last"))
-    # What passes is compared in full, word by word, where the rows are few.
-    own_words = F.transform(F.slice("w", start + 1, F.col("len")), _plain)
+    same = _plain(F.array_join(F.slice("w", start + 1, F.col("len")), " ")) == F.col("joined")
     parts = None
     for block in blocks:
         # the last element stands for the document itself
         words = slim.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("l"), _words(F.col("text")).alias("w"))
         words = words.select("id", "h", "l", "w", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("pos", "word")).withColumn("key", F.lower("word"))
-        near = F.col("off").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("w")) & ends
-        met = words.join(F.broadcast(block), "key", "left").filter(F.col("word").isNull() | near)
-        same = F.col("off").isNotNull() & (own_words == F.col("win"))
-        own = met.select("id", "h", "l", F.when(F.col("word").isNull(), F.col("pos")).alias("n"), F.when(same, F.struct(start.alias("start"), F.col("len").alias("length"))).alias("hit"), F.when(same, F.col("items")).alias("items"))
+        found = F.col("off").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("w")) & ends & same
+        met = words.join(F.broadcast(block.select("key", "off", "len", "first", "last", "joined", "items")), "key", "left").filter(F.col("word").isNull() | found)
+        own = met.select("id", "h", "l", F.when(F.col("word").isNull(), F.col("pos")).alias("n"), F.when(F.col("off").isNotNull(), F.struct(start.alias("start"), F.col("len").alias("length"))).alias("hit"), "items")
         parts = own if parts is None else parts.unionAll(own)
     # rows that are equal in id and text meet here
     by_row = parts.groupBy("id", "h", "l").agg(F.max("n").alias("n_words"), (F.count("n") / len(blocks)).cast("int").alias("copies"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
