@@ -106,12 +106,23 @@ TOGETHER = 64
 _BETWEEN = "\x01"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class TokenBytes:
     """Little-endian 32-bit ids of texts, each with the end id, from a bounded table of words.
 
     Words that the table lacks are encoded in one call, as a text of its own
     with a mark between them. A word of letters with stops or commas behind it
-    is two pre-tokens, and so the sum of both.
+    is two pre-tokens, and so the sum of both; letters alone are one pre-token,
+    which goes to the tokenizer's model at once.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, most: int = 600_000):
@@ -126,6 +137,12 @@ class TokenBytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
+        model = self.tokenizer.model
+        for w in words:
+            if w.isalpha():
+                units = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
+                self.known[w] = np.array([t.id for t in model.tokenize(units)], dtype="<u4").tobytes()
+        words = [w for w in words if w not in self.known]
         joined = [w for w in words if _BETWEEN not in w and self.mark is not None]
         if joined:
             data = self._whole(f" {_BETWEEN} ".join(joined))
