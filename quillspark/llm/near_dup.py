@@ -95,6 +95,10 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 PAIRWISE = 16
 #: Hubs of each larger bucket in the rounds after the first.
 HUBS = 4
+#: Cells in which shingles are counted to order them, rare ones first. Shingles that share a cell only share its count.
+CELLS = 1 << 20
+#: Parts into which the members of one component that share a shingle are split.
+PARTS = 64
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -150,6 +154,56 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return full.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def crossing_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of members of different components whose sets may reach the similarity, whatever their number.
+
+    members: id, component, one row for each id. Sets that reach it share a
+    shingle among the first n - ceil(percent x n / 100) + 1 of each, in any order
+    common to all sets; at the first one shared, what follows in both bounds the
+    intersection. The order (rare shingles first) decides about the cost only.
+    """
+    kinds = dict(members.dtypes)
+    rest = stored(texts.select("id", "text").join(members, "id"), "rest")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                n[shingle_set(text, words) & np.uint64(CELLS - 1)] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "c"])
+
+    counted = rest.select("text").mapInArrow(count, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(CELLS, np.uint32)
+    counts[counted["cell"].to_numpy()] = np.minimum(counted["c"].to_numpy(), (1 << 32) - 1)
+    sent = members.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tokens, sizes, spots = [], [], []
+                for text in as_bytes(part.column(2)):
+                    s = shingle_set(text, words)
+                    k = len(s) + 1 - -(-percent * len(s) // 100)
+                    tokens.append(s[np.lexsort((s, sent.value[s & np.uint64(CELLS - 1)]))[:k]])
+                    sizes.append(len(s))
+                    spots.append(np.arange(len(tokens[-1]), dtype=np.int32))
+                of = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(sizes, pa.int64()).take(of), pa.array(np.concatenate(spots))], names=["token", "id", "component", "n", "at"])
+
+    prefixes = rest.select("id", "component", "text").mapInArrow(first, f"token long, id {kinds['id']}, component {kinds['component']}, n long, at int")
+    # members of one component stay together, so that their pairs are never made
+    groups = stored(prefixes.groupBy("token", "component", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("id", "n", "at")).alias("m")).drop("part"), "prefixes")
+    several = groups.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+    live = stored(groups.join(several, "token", "left_semi"), "shared")
+    side = lambda s: live.select("token", F.col("component").alias("c" + s), F.col("m").alias("m" + s))
+    met = side("x").join(side("y"), "token").filter("cx < cy").select(F.explode("mx").alias("x"), "my").select("x", F.explode("my").alias("y"))
+    reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    able = met.filter(reach * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    return _sized(able.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")), percent)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of an edge (a, b) reaches.
 
@@ -231,9 +285,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         crossing = large.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), "component").join(hubs, "key").filter("ca <> component").select("a", "na", "b", "nb")
         fresh = stored(_sized(crossing, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = stored(confirmed(fresh, texts, words, percent), "links")
+        tried = tried.unionAll(fresh)
         if more.isEmpty():
+            if not large.isEmpty():
+                left = crossing_pairs(large.select("id", "component").distinct(), texts, words, percent)
+                links = links.unionAll(stored(confirmed(stored(left.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, words, percent), "links"))
+                marks = components(links)
             break
-        tried, links = tried.unionAll(fresh), links.unionAll(more)
+        links = links.unionAll(more)
         marks = components(links)
         large = large.select("key", "id", "n")
     twice = some.join(classes, "set_key").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")

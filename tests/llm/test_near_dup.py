@@ -73,6 +73,24 @@ def test_chains_small_sets_and_large_groups(spark):
     check(spark, rows)
 
 
+def test_pairs_that_share_large_buckets_only(spark):
+    """10,000 texts at a similarity of at most 0.77 with each other, and copies at 0.87 of eight of them that share no small bucket with them."""
+    text = lambda a, b, c: " ".join([*[f"k{i}" for i in range(10)], f"a{a}", *[f"k{i}" for i in range(11, 30)], f"b{b}", *[f"k{i}" for i in range(31, 50)], f"c{c}", *[f"k{i}" for i in range(51, 62)]])
+    rows = [(100 * a + b, text(a, b, (a + b) % 100)) for a in range(100) for b in range(100)]
+    near = [(94, 14), (19, 49), (26, 67), (45, 28), (89, 79), (0, 12), (85, 55), (96, 79)]
+    copies = [(20_000 + k, text(a, b, f"z{a}-{b}")) for k, (a, b) in enumerate(near)]
+    sets = lambda t: near_dup.shingle_set(t.encode(), 4)
+    keys = [near_dup.band_keys(near_dup.signature(sets(t))) for _, t in rows + copies]
+    held = Counter(int(k) for own in keys for k in own)
+    for k, (a, b) in enumerate(near):
+        shared = set(map(int, keys[10_000 + k])) & set(map(int, keys[100 * a + b]))
+        assert shared and min(held[x] for x in shared) > near_dup.PAIRWISE
+        assert len(np.intersect1d(sets(copies[k][1]), sets(rows[100 * a + b][1]))) == 55
+    got = near_dup.near_duplicates(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(4), 4).collect()
+    want = {i: i for i, _ in rows} | {20_000 + k: 100 * a + b for k, (a, b) in enumerate(near)}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     for n in (3, 20, 200, 5000):
