@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import as_bytes
+from quillspark.llm.common import as_bytes, sized
 
 BUCKETS = 1 << 20
 #: Labelled documents that training sees at most, of each label; taken by a hash of their id.
@@ -28,6 +28,8 @@ CUT = 0.7
 #: Toxic labels of one language at which its own threshold counts as much as the common one.
 LANGUAGE_HALF = 20
 FOLDS = 3
+#: Steps of a logit's unit in which documents outside the sample are counted.
+STEPS = 256
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _OFFSETS = [(j, k) for j, w in enumerate(WIDTHS) for k in range(w)]
@@ -183,38 +185,51 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None],
     With one label alone, or none, every score is far on that side (none: not toxic).
     """
     labels = np.asarray(labels, dtype=np.float64)
+    model, parts, z = _trained(texts, labels, epochs, seed)
+    if parts:
+        _calibrate(model, z, labels, langs, np.ones(len(labels)))
+    return model
+
+
+def _trained(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 5, seed: int = 7) -> tuple[Model, list[Model], np.ndarray]:
+    """A model of all texts, one of each fold's rest, and each text's logit by the model that hasn't seen it; no folds where a label is too rare."""
     n, pos = len(labels), labels.sum()
     if not min(pos, n - pos) >= FOLDS:
         far = 50.0 if pos <= n - pos else -50.0
         wide = FILTERS * len(WIDTHS)
-        return Model(np.zeros(BUCKETS, dtype=np.int32), np.zeros((1, DIM), np.float32), np.zeros((DIM, FILTERS * len(_OFFSETS)), np.float32), np.zeros(wide, np.float32), np.zeros(2 * wide, np.float32), 0.0, 1.0, far)
+        return Model(np.zeros(BUCKETS, dtype=np.int32), np.zeros((1, DIM), np.float32), np.zeros((DIM, FILTERS * len(_OFFSETS)), np.float32), np.zeros(wide, np.float32), np.zeros(2 * wide, np.float32), 0.0, 1.0, far), [], np.zeros(n)
     z = np.zeros(n)
     fold = np.zeros(n, dtype=np.int64)
     for y in (0, 1):
         own = np.flatnonzero(labels == y)
         fold[own] = np.arange(len(own)) % FOLDS
+    parts = []
     for k in range(FOLDS):
         seen, kept = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        part = _fitted([texts[i] for i in seen], labels[seen], epochs, seed + k)
+        parts.append(_fitted([texts[i] for i in seen], labels[seen], epochs, seed + k))
         for at in range(0, len(kept), 256):
-            z[kept[at : at + 256]] = part.logits([texts[i] for i in kept[at : at + 256]])
-    model = _fitted(texts, labels, epochs, seed)
-    model.centre, model.scale = _threshold(z, labels), 2.0 / max(0.2, float(np.std(z)))
+            z[kept[at : at + 256]] = parts[k].logits([texts[i] for i in kept[at : at + 256]])
+    return _fitted(texts, labels, epochs, seed), parts, z
+
+
+def _calibrate(model: Model, z: np.ndarray, labels: np.ndarray, langs: list[str | None], weight: np.ndarray) -> None:
+    """Set the score's centre and scale and the thresholds by language. weight: how many documents a row stands for."""
+    mean = np.average(z, weights=weight)
+    model.centre, model.scale = _threshold(z, labels, weight), 2.0 / max(0.2, float(np.sqrt(np.average((z - mean) ** 2, weights=weight))))
+    of = np.array([x or "" for x in langs], dtype=object)
     for lang in sorted({x for x in langs if x}):
-        own = np.array([x == lang for x in langs])
-        n_own = labels[own].sum()
-        if min(n_own, own.sum() - n_own) >= FOLDS:
-            t = n_own / (n_own + LANGUAGE_HALF) * (_threshold(z[own], labels[own]) - model.centre)
+        own = of == lang
+        n_own = (weight * labels)[own].sum()
+        if min(n_own, weight[own].sum() - n_own) >= FOLDS:
+            t = n_own / (n_own + LANGUAGE_HALF) * (_threshold(z[own], labels[own], weight[own]) - model.centre)
             model.thresholds[lang] = float(_sigmoid(model.scale * t + np.log(CUT / (1 - CUT))))
-    return model
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
+def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The middle of the widest gap among the cuts with the best F1."""
     order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    z, y, weight = z[order], y[order], weight[order]
+    f1 = 2 * np.cumsum(weight * y) / (np.cumsum(weight) + (weight * y).sum())
     f1[:-1][z[:-1] == z[1:]] = -1
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     ends = np.append(z[1:], z[-1] - 1)
@@ -226,6 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     """Train on a bounded sample of labelled documents: SAMPLE of each label at most, by a hash of the id.
 
     ``usable`` is a condition on the labels table. Rows without id or label are left out, repeated ids count once.
+    The score and the thresholds are calibrated over all usable labels: documents outside the sample come as counts
+    of their logits, by a model of one fold, which hasn't seen them either.
     """
     known = labels.filter(usable) if usable is not None else labels
     known = known.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
@@ -237,7 +254,34 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"), lang.alias("_l"))
     rows = slim.join(F.broadcast(sample), "_id").select("_id", "_y", "_l", "_t").toArrow().sort_by("_id")
     texts = [word_buckets(t) for t in rows["_t"].to_pylist()]
-    return train(texts, np.array(rows["_y"].to_pylist(), dtype=np.float64), rows["_l"].to_pylist())
+    y = np.array(rows["_y"].to_pylist(), dtype=np.float64)
+    model, parts, z = _trained(texts, y)
+    if parts:
+        rest = sized(known.filter(F.col("_y").isin(0, 1)).join(F.broadcast(sample.select("_id")), "_id", "left_anti"), "rest")
+        more = _counted(slim.join(rest, "_id"), parts).toArrow()
+        z = np.concatenate([z, (more["at"].to_numpy() + 0.5) / STEPS])
+        weight = np.concatenate([np.ones(len(y)), more["c"].to_numpy()])
+        _calibrate(model, z, np.concatenate([y, more["_y"].to_numpy()]), rows["_l"].to_pylist() + more["_l"].to_pylist(), weight)
+    return model
+
+
+def _counted(docs: DataFrame, parts: list[Model]) -> DataFrame:
+    """_l, _y, at, c: documents by language, label and logit in steps of 1 / STEPS. Each takes the model of one fold, by its id."""
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                fold, z = part.column(2).to_numpy(), np.zeros(part.num_rows)
+                texts = [word_buckets(t) for t in part.column(3).to_pylist()]
+                for k in np.unique(fold):
+                    own = np.flatnonzero(fold == k)
+                    z[own] = sent.value[k].logits([texts[i] for i in own])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.floor(z * STEPS).astype(np.int64))], names=["_l", "_y", "at"])
+
+    slim = docs.select("_l", "_y", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(len(parts))).alias("fold"), "_t")
+    return slim.mapInArrow(run, "_l string, _y int, at long").groupBy("_l", "_y", "at").agg(F.count("*").alias("c"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspark.llm import quality, queries, toxicity
 
@@ -75,3 +76,27 @@ def test_batches_do_not_change_scores():
     texts = [toxicity.word_buckets(t) for t in (b"", b"one two", b"idiot " * 200, b"a b c d" * 40)]
     model = toxicity.train(texts * 5, np.array([0, 0, 1, 0] * 5), [None] * 20)
     assert np.allclose(model.logits(texts), np.concatenate([model.logits([t]) for t in texts]), atol=1e-5)
+
+
+def test_toxicity_is_calibrated_over_all_usable_labels(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    rows = []
+    for i in range(1200):
+        toxic = int(i % 20 == 0)
+        t = [r.choice(words) for _ in range(30)] + ["idiot"] * (toxic or i % 10 == 1)  # as many false alarms as hits by that word
+        rows.append((i, " ".join(t), "en" if i % 3 else "de", toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3)
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    seen, real = [], toxicity._threshold
+
+    def threshold(z, y, *weight):
+        w = weight[0] if weight else np.ones(len(z))
+        seen.append((w[y == 0].sum(), w[y == 1].sum()))
+        return real(z, y, *weight)
+
+    monkeypatch.setattr(toxicity, "_threshold", threshold)
+    toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.col("doc_id") % 4 < 3)
+    used = [x for x in rows if x[0] % 4 < 3]
+    count = lambda lang: tuple(sum(x[3] == y and (not lang or x[2] == lang) for x in used) for y in (0, 1))
+    assert seen == [count(None), count("de"), count("en")]
