@@ -82,5 +82,18 @@ def test_pruning_skips_blocks():
         search.TaskContext = old
     shard = search.Shard(made[0].column(3)[0].as_py(), 40.0)
     terms, counts = search.terms_of(b"rare words here only w1")
-    best, scored = shard.top(terms, np.where(np.isin(terms, search.terms_of(b"w1")[0]), 0.1, 5.0), 1)
-    assert best[0][1] == 1234 and scored == 1 < shard.blocks
+    weights = np.where(np.isin(terms, search.terms_of(b"w1")[0]), 0.1, 5.0)
+    whole, none, _ = shard.top([(shard.find(terms), weights, 0.0)], 1)
+    assert whole[0][0][1] == 1234 and none == 0
+    again, ruled_out, scored = shard.top([(shard.find(terms), weights, whole[0][0][0])], 1)
+    assert again == whole and ruled_out == len(shard.starts) - 1 and scored == 1
+
+
+def test_many_shards_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 9)
+    monkeypatch.setattr(search, "ROUND_TERMS", 3000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300").repartition(3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for turns in (1024, 5):
+        monkeypatch.setattr(search, "TURNS", turns)
+        compare(search.top_k(docs, docs.filter("doc_id % 50 = 0"), k=4).collect(), brute(rows, [x for x in rows if x[0] % 50 == 0], 4))
