@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,9 +69,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, here for its one place to document: batches hold whole rows and follow each other in input order."""
-    return df.mapInArrow(work, schema)
+def helper_names(df: DataFrame, *wanted: str) -> dict[str, str]:
+    """A column name for each helper that no column of ``df`` has, whatever its case."""
+    taken = {x.lower() for x in df.columns}
+    made = {}
+    for w in wanted:
+        name = f"_{w}"
+        while name in taken:
+            name = "_" + name
+        made[w] = name
+        taken.add(name)
+    return made
 
 
 def crc32(data: bytes) -> int:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import as_bytes, sized, stored
+from quillspark.llm.common import as_bytes, helper_names, sized, stored
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -69,13 +69,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (128 bits of the whole set), sig (a byte for each bin), bands; the last three null for texts without words."""
+    """id, th (hash of the text), n_shingles, set_key (128 bits of the whole set), sig (a byte for each bin), bands; the last three null for texts without words."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sigs, bands = [], [], [], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(2)):
                 s = shingle_set(text, words)
                 n.append(len(s))
                 if not len(s):
@@ -85,20 +85,28 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append((mixed(sig) & np.uint64(255)).astype(np.uint8).tobytes())
                 bands.append(band_keys(sig))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "sig", "bands"])
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "th", "n_shingles", "set_key", "sig", "bands"])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, sig binary, bands array<bigint>")
+    slim = _slim(docs, id_col, text_col)
+    return slim.mapInArrow(run, f"id {kind}, th long, n_shingles long, set_key binary, sig binary, bands array<bigint>")
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 #: Buckets of so many classes or fewer are compared pair by pair, which bounds the pairs by a multiple of the members.
 PAIRWISE = 16
 #: Hubs of each larger bucket in the rounds after the first.
 HUBS = 4
-#: Cells in which shingles are counted to order them, rare ones first. Shingles that share a cell only share its count.
-CELLS = 1 << 20
-#: Parts into which the members of one component that share a shingle are split.
-PARTS = 64
+#: Documents of a block, and bytes of their texts, about which blocks are compared (one longer text is a block of its own).
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Shingle sets of blocks that a task keeps for the next pairs of blocks.
+KEPT_BLOCKS = 4
+#: Classes of so many rows or more are looked up apart from the others, so that no task gets all their rows.
+MANY_ROWS = 200
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -154,54 +162,115 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return full.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def crossing_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b), a < b: all pairs of members of different components whose sets may reach the similarity, whatever their number.
+def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, component, n, sig, text, keys (its buckets), block: each member in one block of about BLOCK members at most.
 
-    members: id, component, one row for each id. Sets that reach it share a
-    shingle among the first n - ceil(percent x n / 100) + 1 of each, in any order
-    common to all sets; at the first one shared, what follows in both bounds the
-    intersection. The order (rare shingles first) decides about the cost only.
+    members: key, id, component. A member's home is the largest of its buckets. A component that has
+    many members in one home has blocks of its own there; the others share blocks.
     """
-    kinds = dict(members.dtypes)
-    rest = stored(texts.select("id", "text").join(members, "id"), "rest")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                n[shingle_set(text, words) & np.uint64(CELLS - 1)] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "c"])
-
-    counted = rest.select("text").mapInArrow(count, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(CELLS, np.uint32)
-    counts[counted["cell"].to_numpy()] = np.minimum(counted["c"].to_numpy(), (1 << 32) - 1)
-    sent = members.sparkSession.sparkContext.broadcast(counts)
+    held = members.groupBy("key").agg(F.count("*").alias("c"))
+    own = members.join(held, "key").groupBy("id").agg(F.max(F.struct("c", "key")).alias("home"), F.collect_set("key").alias("keys"), F.min("component").alias("component"))
+    each = own.select("id", "keys", "component", F.col("home.key").alias("home")).join(texts, "id").withColumn("size", F.octet_length("text").cast("long"))
+    each = stored(each, "members")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("parts")
+    by_component = each.groupBy("home", "component").agg(F.count("*").alias("m"), parts())
+    large = by_component.filter(F.col("m") * 2 >= BLOCK).select("home", "component", F.col("parts").alias("own_parts"))
+    each = each.join(large, ["home", "component"], "left")
+    shared = each.filter("own_parts is null").groupBy("home").agg(parts())
+    part = F.when(F.col("own_parts").isNull(), F.pmod(F.xxhash64("component"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("id"), F.col("own_parts")))
+    block = F.xxhash64("home", F.when(F.col("own_parts").isNotNull(), F.col("component")), part)
+    return stored(each.join(shared, "home", "left").select("id", "component", "n", "sig", "text", "keys", block.alias("block")), "blocks")
+
+
+def _compare(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[int, tuple] = OrderedDict()
+
+        def block(key: int, rows: pa.StructArray) -> tuple:
+            if key not in kept:
+                sets = [shingle_set(t, words) for t in as_bytes(rows.field("text"))]
+                sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint8).reshape(len(rows), BINS)
+                kept[key] = rows.field("id").to_pylist(), rows.field("component").to_pylist(), rows.field("n").to_numpy(), sig, rows.field("keys").to_pylist(), sets
+                if len(kept) > KEPT_BLOCKS:
+                    kept.popitem(last=False)
+            else:
+                kept.move_to_end(key)
+            return kept[key]
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens, sizes, spots = [], [], []
-                for text in as_bytes(part.column(2)):
-                    s = shingle_set(text, words)
-                    k = len(s) + 1 - -(-percent * len(s) // 100)
-                    tokens.append(s[np.lexsort((s, sent.value[s & np.uint64(CELLS - 1)]))[:k]])
-                    sizes.append(len(s))
-                    spots.append(np.arange(len(tokens[-1]), dtype=np.int32))
-                of = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(sizes, pa.int64()).take(of), pa.array(np.concatenate(spots))], names=["token", "id", "component", "n", "at"])
-
-    prefixes = rest.select("id", "component", "text").mapInArrow(first, f"token long, id {kinds['id']}, component {kinds['component']}, n long, at int")
-    # members of one component stay together, so that their pairs are never made
-    groups = stored(prefixes.groupBy("token", "component", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("id", "n", "at")).alias("m")).drop("part"), "prefixes")
-    several = groups.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    live = stored(groups.join(several, "token", "left_semi"), "shared")
-    side = lambda s: live.select("token", F.col("component").alias("c" + s), F.col("m").alias("m" + s))
-    met = side("x").join(side("y"), "token").filter("cx < cy").select(F.explode("mx").alias("x"), "my").select("x", F.explode("my").alias("y"))
-    reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    able = met.filter(reach * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    return _sized(able.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")), percent)
+            a, b = [], []
+            for i in range(batch.num_rows):
+                x, y = (block(batch.column(c)[i].as_py(), batch.column(c + 1)[i].values) for c in (0, 2))
+                for p, q in _linked(x, y, x is y, percent):
+                    a.append(min(x[0][p], y[0][q])), b.append(max(x[0][p], y[0][q]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _linked(x: tuple, y: tuple, same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between members of two blocks that share a bucket; pairs that stand in one component by then are passed over."""
+    (_, cx, nx, sx, kx, tx), (_, cy, ny, sy, ky, ty) = x, y
+    root: dict = {c: c for c in [*cx, *cy]}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    names = {k: i for i, k in enumerate({k for keys in kx for k in keys} & {k for keys in ky for k in keys})}
+
+    def buckets(rows: list) -> np.ndarray:
+        at = [(i, names[k]) for i, keys in enumerate(rows) for k in keys if k in names]
+        held = np.zeros((len(rows), len(names)), np.float32)
+        held[[i for i, _ in at], [k for _, k in at]] = 1
+        return held
+
+    meet = (buckets(kx) @ buckets(ky).T > 0) & (np.minimum.outer(nx, ny) * 100 >= np.maximum.outer(nx, ny) * percent)
+    if same:
+        meet = np.triu(meet, 1)
+    if not meet.any():
+        return
+    sizes = np.array([len(t) for t in ty])
+    tokens, spot = np.unique(np.concatenate(ty), return_inverse=True)
+    ends = np.cumsum(sizes)
+    here = np.zeros(len(tokens) + 1, bool)
+    for p in np.flatnonzero(meet.any(axis=1)).tolist():
+        other = np.flatnonzero(meet[p])
+        alike = (sy[other] == sx[p]).mean(axis=1) >= LEAST_AGREEMENT
+        other = other[alike | (np.minimum(nx[p], ny[other]) < SMALL_SET)]
+        other = np.array([q for q in other.tolist() if top(cx[p]) != top(cy[q])], np.int64)
+        if not len(other):
+            continue
+        at = np.searchsorted(tokens, tx[p])
+        at[at == len(tokens)] = 0
+        at = at[tokens[at] == tx[p]]
+        here[at] = True
+        runs = sizes[other]
+        own = np.repeat(ends[other] - np.cumsum(runs), runs) + np.arange(runs.sum())
+        both = np.add.reduceat(here[spot[own]].astype(np.int64), np.cumsum(runs) - runs)
+        here[at] = False
+        for q in other[100 * both >= percent * (nx[p] + ny[other] - both)].tolist():
+            if top(cx[p]) != top(cy[q]):
+                root[top(cx[p])] = top(cy[q])
+                yield p, q
+
+
+def crossing_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b), a < b: links that join all members of different components that share a bucket and reach the similarity.
+
+    members: key, id, component, of buckets that hold several components. Pairs of blocks that share a
+    bucket meet, once each, and are compared inside a task on whole sets; only links leave it, and of
+    those no more than join the components there.
+    """
+    blocks = _blocks(members, texts)
+    there = blocks.select("block", "component", F.explode("keys").alias("key")).groupBy("key", "block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    side = lambda s: there.select("key", *[F.col(c).alias(c + s) for c in ("block", "x", "y")])
+    several = ~((F.col("x_a") == F.col("y_a")) & (F.col("x_b") == F.col("y_b")) & (F.col("x_a") == F.col("x_b")))
+    met = side("_a").join(side("_b"), "key").filter((F.col("block_a") <= F.col("block_b")) & several).select(F.col("block_a").alias("a"), F.col("block_b").alias("b")).distinct()
+    rows = stored(blocks.groupBy("block").agg(F.collect_list(F.struct("id", "component", "n", "sig", "text", "keys")).alias("rows")), "packed")
+    full = met.join(rows.toDF("a", "rows_a"), "a").join(rows.toDF("b", "rows_b"), "b").select("a", "rows_a", "b", "rows_b")
+    return full.mapInArrow(_compare(words, percent), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,15 +297,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that are near duplicates of a smaller id. Of rows that repeat an id one stays."""
+    """The rows of ``docs``, all columns, without those that are near duplicates of a smaller id. Of rows that repeat an id one stays.
+
+    Rows with a null id stay, texts without words (null, empty) are nobody's
+    duplicates. Columns may have any names; an empty table stays empty.
+    """
     found = near_duplicates(docs, words, percent, id_col, text_col)
-    gone = sized(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = sized(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().filter("count > 1").select("_id"), "repeated")
+    name = helper_names(docs, "gone", "rank")
+    gone = sized(found.filter(~F.col("kept")).select(F.col(id_col).alias(name["gone"])).distinct(), "gone")
+    rest = docs.join(gone, docs[id_col] == gone[name["gone"]], "left_anti")
+    repeated = sized(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name["gone"])).count().filter("count > 1").select(name["gone"]), "repeated")
     if repeated.isEmpty():
         return rest
-    many = rest.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("_n = 1").drop("_n")
-    return rest.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionAll(many)
+    many = rest.join(repeated, rest[id_col] == repeated[name["gone"]], "left_semi")
+    many = many.withColumn(name["rank"], F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(name["rank"]) == 1).drop(name["rank"])
+    return rest.join(repeated, rest[id_col] == repeated[name["gone"]], "left_anti").unionAll(many)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,10 +320,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Documents whose shingle sets have a Jaccard similarity of ``percent`` or
     more are linked; component_id is the smallest id reachable over links, and
     the document that bears it is kept. Documents with equal sets form a class
-    and only its smallest id goes on. Candidates are all pairs in small
-    buckets and a star in each larger one; wherever a larger bucket still
-    holds several components, further rounds with other hubs follow for as
-    long as they find links. Every candidate is confirmed on the whole sets.
+    and only one text of it goes on. Candidates are all pairs in small buckets
+    and a star in each larger one; wherever a larger bucket still holds several
+    components, further rounds with other hubs follow for as long as they find
+    links, and then all members of different components that share a bucket
+    are compared in blocks. Every link is confirmed on the whole sets.
 
     Texts without words, null ones included, are linked with nothing. Rows
     with a null id take no part: their component is null and they are kept.
@@ -257,19 +333,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     sketch = stored(sketches(docs, words, id_col, text_col), "sketches")
     some = sketch.filter(F.col("id").isNotNull() & F.col("set_key").isNotNull())
-    classes = some.groupBy("set_key").agg(F.min("id").alias("rep"))
-    # of a repeated id, every text may stand for a class of its own
-    reps = stored(some.join(classes.select(F.col("set_key").alias("k"), F.col("rep").alias("id")), "id").filter("k = set_key").drop("k").dropDuplicates(["id", "set_key"]), "classes")
-    bands = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).filter("c > 1")
+    # a class is known by its set_key; the row of its smallest id lends it a text
+    classes = stored(some.groupBy("set_key").agg(F.min(F.struct("id", "th")).alias("r"), F.count("*").alias("rows")).select("set_key", F.col("r.id").alias("rep"), F.col("r.th").alias("th"), "rows"), "classes")
+    lent = classes.select(F.col("set_key").alias("k"), F.col("rep").alias("id"), "th")
+    reps = stored(some.join(lent, ["id", "th"]).filter("k = set_key").select(F.col("set_key").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["id"]), "representatives")
+    bands = reps.select("id", "n", F.explode("bands").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.xxhash64("id")).alias("hub")).filter("c > 1")
     members = stored(bands.join(sizes, "key"), "buckets")
-    hubs = members.filter((F.col("c") > PAIRWISE) & (F.col("id") == F.col("hub"))).select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    hubs = members.filter((F.col("c") > PAIRWISE) & (F.xxhash64("id") == F.col("hub"))).select("key", F.col("id").alias("a"), F.col("n").alias("na"))
     stars = members.filter(F.col("c") > PAIRWISE).select("key", F.col("id").alias("b"), F.col("n").alias("nb")).join(hubs, "key").select("a", "na", "b", "nb")
     pairs = stored(_sized(_pairs(members.filter(F.col("c") <= PAIRWISE).select("key", "id", "n")).unionAll(stars), percent), "pairs")
     wanted = members.select("id").distinct()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = reps.select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"]).join(wanted, "id", "left_semi")
-    texts = stored(slim.join(own, "id").dropDuplicates(["id"]), "texts")
+    own = reps.select("id", "n", "sig").join(wanted, "id", "left_semi").join(classes.select(F.col("set_key").alias("id"), "rep", "th"), "id")
+    slim = _slim(docs, id_col, text_col).withColumnRenamed("id", "rep")
+    texts = stored(slim.join(own, ["rep", "th"]).select("id", "n", "sig", "text").dropDuplicates(["id"]), "texts")
     links = stored(confirmed(pairs, texts, words, percent), "links")
     marks = components(links)
     large = members.filter(F.col("c") > PAIRWISE).select("key", "id", "n")
@@ -280,6 +357,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         known = stored(large.join(marks, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "known")
         mixed_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         large = stored(known.join(mixed_keys, "key", "left_semi"), "mixed")
+        if large.isEmpty():
+            break
         first = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", "key", F.lit(HUBS * turn + k)).alias("h"), "id", "n", "component")).alias(f"h{k}") for k in range(HUBS)])
         hubs = first.select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h")).select("key", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca")).distinct()
         crossing = large.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), "component").join(hubs, "key").filter("ca <> component").select("a", "na", "b", "nb")
@@ -287,18 +366,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         more = stored(confirmed(fresh, texts, words, percent), "links")
         tried = tried.unionAll(fresh)
         if more.isEmpty():
-            if not large.isEmpty():
-                left = crossing_pairs(large.select("id", "component").distinct(), texts, words, percent)
-                links = links.unionAll(stored(confirmed(stored(left.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, words, percent), "links"))
-                marks = components(links)
+            links = links.unionAll(stored(crossing_links(large.select("key", "id", "component"), texts, words, percent), "links"))
             break
         links = links.unionAll(more)
         marks = components(links)
         large = large.select("key", "id", "n")
-    twice = some.join(classes, "set_key").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    if not twice.isEmpty():
-        marks = components(links.unionAll(twice))
-    found = classes.join(marks, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("id", "n_shingles", "set_key").join(found, "set_key", "left")
-    whole = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    # classes that one id's texts stand in are one document
+    ids = some.select("id", "set_key").distinct().groupBy("id").agg(F.min("set_key").alias("a"), F.collect_list("set_key").alias("all")).filter(F.size("all") > 1)
+    marks = components(links.unionAll(ids.select("a", F.explode("all").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    joined = classes.join(marks, F.col("set_key") == F.col("id"), "left").select("set_key", "rep", "rows", F.coalesce("component", "set_key").alias("component"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    found = stored(joined.join(least, "component").select("set_key", "least", "rows"), "components")
+    often = sized(found.filter(F.col("rows") >= MANY_ROWS).select(F.col("set_key").alias("often_key"), F.col("least").alias("often")), "often")
+    slim = sketch.select("id", "th", "n_shingles", "set_key").join(often, F.col("set_key") == F.col("often_key"), "left")
+    # rows that need no look-up go to all tasks alike, by a key that no class has
+    spread = slim.withColumn("key", F.when(F.col("set_key").isNull() | F.col("often").isNotNull(), F.encode(F.xxhash64("id", "th").cast("string"), "UTF-8")).otherwise(F.col("set_key")))
+    out = spread.join(found.filter(F.col("rows") < MANY_ROWS).select(F.col("set_key").alias("key"), "least"), "key", "left")
+    whole = F.when(F.col("id").isNotNull(), F.coalesce("often", "least", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.coalesce(F.col("id") == whole, F.lit(True)).alias("kept"))
