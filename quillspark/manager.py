@@ -8,7 +8,7 @@ import time
 import uuid
 from collections import OrderedDict, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,7 +161,7 @@ class EntityManager:
         entity = self.catalog.entity(name)
         q = SelectQuery(self.catalog, entity, self.catalog.scan(entity, options.get("with_deleted", False), not options.get("without_tenant", False)).alias(entity.name), entity.name)
         if options.get("where") is not None:
-            q = q.where(options["where"])
+            q = replace(q, scope_={"with_deleted": bool(options.get("with_deleted", False))}).where(options["where"])
         names = list(options.get("select") or [])
         entity.check(names)
         relations = options.get("relations") or {}
@@ -458,7 +458,7 @@ class EntityManager:
         """The rows a criteria write may touch: the condition, the tenant, and none without a condition."""
         if need and (where is None or isinstance(where, (dict, list)) and not where):
             raise InvalidQuery("a write by criteria needs a condition")
-        c = compile_where(where, "", entity)
+        c = compile_where(where, "", entity, self.catalog)
         owner = entity.role("tenant")
         if owner and current_tenant() is not None:
             c = c & (F.col(owner) == F.lit(current_tenant()))
@@ -602,10 +602,23 @@ class EntityManager:
 
     @contextlib.contextmanager
     def transaction(self) -> Iterator[WriteBuffer]:
-        """A unit of work: committed at the end, forgotten on an error. Tables are swapped one by one, so there is no isolation across them."""
+        """A unit of work: committed at the end, forgotten on an error in the block.
+
+        Tables are swapped one by one, so readers may see some of them changed
+        already. Where a write fails half way, the tables changed before it are
+        set back to the version they had, unless another writer has come after.
+        """
         buffer = WriteBuffer(self)
         yield buffer
-        buffer.flush()
+        stores = [s for _, s in self.catalog.entities.values() if isinstance(s, Snapshots)]
+        before = [s.current() for s in stores]
+        try:
+            buffer.flush()
+        except Exception:
+            for store, version in zip(stores, before, strict=True):
+                if store.current() not in (version, None) and store.current() == store.last:
+                    store.set_back(version)
+            raise
 
     def transactional(self, work: Callable) -> Callable:
         """Decorator: work(buffer, ...) runs in a unit of work."""
@@ -695,8 +708,28 @@ class InsertBuilder:
             self.manager.batch_upsert(self.entity.name, self.rows, self.keys, self.assign, self.guard)
 
     def execute_and_return(self) -> DataFrame:
+        """RETURNING: the stored rows that were inserted or updated, generated and managed columns filled in.
+
+        Rows that a conflict left as they were are not among them.
+        """
+        before = self.manager._table(self.entity)[0]
+        if not hasattr(self.rows, "sparkSession") and self.rows is not None:
+            self.rows = [dict(r) for r in self.rows]
         self.execute()
-        return self.manager._table(self.entity)[0]
+        after, keys = self.manager._table(self.entity)[0], self.keys or list(self.entity.key)
+        kinds = ", ".join(f"`{k}` {self.entity.columns[k].spark_type()}" for k in keys)
+        proposed = self.rows if hasattr(self.rows, "sparkSession") else self.manager.spark.createDataFrame([tuple(r.get(k) for k in keys) for r in self.rows], kinds)
+        written = proposed.select(*keys).distinct()
+        if self.keys is not None:
+            fresh = written.join(before, keys, "left_anti")
+            if isinstance(self.assign, list) and not self.assign:
+                written = fresh
+            elif self.guard is not None:
+                given = proposed if hasattr(self.rows, "sparkSession") else self.manager._as_frame(self.entity, self.rows)
+                on = [F.col(f"__old.{k}") == F.col(f"__new.{k}") for k in keys]
+                changed = before.alias("__old").join(write.one_per_key(given, keys).alias("__new"), on).filter(self.guard)
+                written = fresh.unionByName(changed.select(*[F.col(f"__new.{k}").alias(k) for k in keys]))
+        return after.join(written, keys, "left_semi")
 
 
 @dataclass
@@ -719,14 +752,14 @@ class UpdateBuilder:
         return self
 
     def where(self, where) -> UpdateBuilder:
-        c = compile_where(where, "", self.entity)
+        c = compile_where(where, "", self.entity, self.manager.catalog)
         self.condition = c if self.condition is None else self.condition & c
         return self
 
     and_where = where
 
     def or_where(self, where) -> UpdateBuilder:
-        c = compile_where(where, "", self.entity)
+        c = compile_where(where, "", self.entity, self.manager.catalog)
         self.condition = c if self.condition is None else self.condition | c
         return self
 

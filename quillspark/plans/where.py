@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import InvalidQuery
 from quillspark.functions.expr import Expr, and_, as_expr, column, not_, or_
+from quillspark.operators import relations
 from quillspark.sources.entity import Entity
 
 OPERATORS = {
@@ -44,8 +45,12 @@ def field_filter(left: Expr, value) -> Expr:
     return and_(*parts)
 
 
-def compile_where(where, prefix: str = "", entity: Entity | None = None) -> Column:
-    """A Column from a dictionary, a list of them (any holds), or a condition. The keys AND, OR and NOT nest."""
+def compile_where(where, prefix: str = "", entity: Entity | None = None, catalog=None, with_deleted: bool = False) -> Column:
+    """A Column from a dictionary, a list of them (any holds), or a condition. The keys AND, OR and NOT nest.
+
+    With a catalog, the entity's relations are keys too, at any depth; see relation_filter.
+    """
+    inner = lambda w: compile_where(w, prefix, entity, catalog, with_deleted)
     if where is None:
         return F.lit(True)
     if isinstance(where, (Expr, Column)):
@@ -53,15 +58,17 @@ def compile_where(where, prefix: str = "", entity: Entity | None = None) -> Colu
     if isinstance(where, list):
         if not where:
             raise InvalidQuery("an empty list of alternatives holds nothing to choose from")
-        return or_(*[compile_where(w, prefix, entity) for w in where]).column
+        return or_(*[inner(w) for w in where]).column
     parts = []
     for name, value in where.items():
         if name == "AND":
-            parts += [compile_where(w, prefix, entity) for w in (value if isinstance(value, list) else [value])]
+            parts += [inner(w) for w in (value if isinstance(value, list) else [value])]
         elif name == "OR":
-            parts.append(compile_where(value if isinstance(value, list) else [value], prefix, entity))
+            parts.append(inner(value if isinstance(value, list) else [value]))
         elif name == "NOT":
-            parts.append(~compile_where(value, prefix, entity))
+            parts.append(~inner(value))
+        elif catalog is not None and entity is not None and name in entity.relations:
+            parts.append(relation_filter(catalog, entity, name, value, with_deleted))
         else:
             if entity is not None:
                 entity.check([name])
@@ -69,44 +76,46 @@ def compile_where(where, prefix: str = "", entity: Entity | None = None) -> Colu
     return and_(*parts).column
 
 
-def split_relations(where, entity: Entity) -> tuple[dict, dict]:
-    """Column filters and relation filters of a dictionary."""
-    if not isinstance(where, dict):
-        return where, {}
-    return {k: v for k, v in where.items() if k not in entity.relations}, {k: v for k, v in where.items() if k in entity.relations}
+COLLECTION_MODES, SINGLE_MODES = ("some", "none", "every"), ("is", "isNot", "is_not")
+
+
+def relation_filter(catalog, entity: Entity, name: str, given, with_deleted: bool = False) -> Column:
+    """Whether the related rows fit: some, none, every (a row that the filter can't decide fails) for collections, is, isNot for single ones.
+
+    A correlated EXISTS for each mode: alone or under AND it plans as a semi or
+    anti join, under OR and NOT as an existence join. For single relations null
+    asks whether there is no related row; collections take no null. A filter
+    without a mode means ``some`` or ``is``.
+    """
+    target = catalog.entity(entity.relations[name].target)
+    many = entity.relations[name].kind in ("one_to_many", "many_to_many")
+    modes = COLLECTION_MODES if many else SINGLE_MODES
+    if not isinstance(given, dict) or not set(given) & {*COLLECTION_MODES, *SINGLE_MODES}:
+        given = {modes[0]: given}
+    parts = []
+    for mode, inner in given.items():
+        if mode not in modes:
+            raise InvalidQuery(f"{mode!r} cannot filter {entity.name}.{name}; it takes {', '.join(modes)}")
+        if inner is None and many:
+            raise InvalidQuery(f"{entity.name}.{name}: {mode!r} takes a filter, not null")
+        rows, keys = relations.related(catalog, entity, name, with_deleted)
+        if mode == "every":
+            fits = compile_where(inner, "", target, catalog, with_deleted)
+            parts.append(~_exists(rows.filter(~F.coalesce(fits, F.lit(False))), keys) if inner else F.lit(True))
+            continue
+        met = _exists(rows.filter(compile_where(inner, "", target, catalog, with_deleted)) if inner else rows, keys)
+        wanted = (mode in ("some", "is")) == (inner is not None)
+        parts.append(met if wanted else ~met)
+    return and_(*parts).column
 
 
-def filter_relations(catalog, df: DataFrame, entity: Entity, filters: dict) -> DataFrame:
-    """Keep the rows whose related rows fit: some, none, every (a null predicate fails) for collections, is, is_not for single ones.
+def _exists(rows: DataFrame, keys: list[tuple[str, str]]) -> Column:
+    """EXISTS over rows that agree in (own property, column of the rows).
 
-    Each becomes a semi or anti join; filters of related entities nest.
+    The rows' columns get names of their own, and the alias keeps Spark from
+    looking for the outer row's names among columns that were left out.
     """
-    from quillspark.operators.relations import related
-
-    for name, given in filters.items():
-        relation = entity.relations[name]
-        target = catalog.entity(relation.target)
-        if not set(given) & {"some", "none", "every", "is", "isNot", "is_not"}:
-            given = {"some" if relation.kind in ("one_to_many", "many_to_many") else "is": given}
-        for mode, inner in given.items():
-            own, nested = split_relations(inner or {}, target)
-            rows, keys = related(catalog, entity, name)
-            condition = compile_where(own, "", target)
-            if mode == "every":
-                failing = rows.filter(~F.coalesce(condition, F.lit(False)))
-                if nested:
-                    raise InvalidQuery("every takes column filters only")
-                df = _joined(df, failing, keys, "left_anti")
-                continue
-            met = filter_relations(catalog, rows.filter(condition), target, nested)
-            df = _joined(df, met, keys, "left_semi" if mode in ("some", "is") else "left_anti")
-    return df
-
-
-def _joined(df: DataFrame, rows: DataFrame, keys: list[tuple[str, str]], how: str) -> DataFrame:
-    """Join on (own property, column of the related rows)."""
-    other = rows.select(*[F.col(r).alias(f"__{i}") for i, (_, r) in enumerate(keys)])
-    on = F.lit(True)
+    inner = rows.select(*[F.col(other).alias(f"__related_{i}") for i, (_, other) in enumerate(keys)]).alias("__related")
     for i, (own, _) in enumerate(keys):
-        on = (F.col(own) == F.col(f"__{i}")) if i == 0 else on & (F.col(own) == F.col(f"__{i}"))
-    return df.join(other, on, how)
+        inner = inner.filter(F.col(f"__related_{i}") == F.col(own).outer())
+    return inner.exists()

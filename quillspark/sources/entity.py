@@ -77,14 +77,17 @@ class Column:
 
 @dataclass(frozen=True)
 class Relation:
-    """kind: many_to_one, one_to_many, one_to_one, many_to_many. ``key``: the foreign key property on the owning side."""
+    """kind: many_to_one, one_to_many, one_to_one, many_to_many. ``key``: the foreign key property on the owning side.
+
+    Keys of several columns are tuples, in the order of the key they refer to.
+    """
 
     kind: str
     target: str
-    key: str | None = None
+    key: str | tuple[str, ...] | None = None
     through: str | None = None
-    through_own: str | None = None
-    through_other: str | None = None
+    through_own: str | tuple[str, ...] | None = None
+    through_other: str | tuple[str, ...] | None = None
     eager: bool = False
     cascade: bool = False
     inverse: bool = False

@@ -150,3 +150,54 @@ def test_schema_tools(spark, tmp_path):
     done = []
     runner = schema_tools.Runner(spark, str(tmp_path / "history"), [("001", lambda: done.append(1), lambda: done.append(-1)), ("002", lambda: done.append(2), None)])
     assert runner.run() == ["001", "002"] and runner.run() == [] and runner.revert_last() == "002" and runner.pending() == ["002"] and done == [1, 2]
+
+
+def test_relation_filters(em):
+    """Null, OR, NOT, every with null and nested relations, and rows that are softly deleted."""
+    em.save_many("team", [{"name": "a", "members": [{"nick": "x", "age": 5}, {"nick": "y", "age": None}]}, {"name": "b", "members": [{"nick": "z", "age": 9}]}, {"name": "c"}])
+    em.insert_many("member", [{"nick": "free", "age": 1}])
+    teams = lambda w, **o: sorted(r["name"] for r in em.find("team", where=w, **o))
+    assert nicks(em, where={"group": {"is": None}}) == ["free"] and nicks(em, where={"group": {"isNot": None}}) == ["x", "y", "z"]
+    assert nicks(em, where={"group": {"isNot": {"name": "a"}}}) == ["free", "z"]
+    assert teams({"OR": [{"name": "c"}, {"members": {"some": {"age": {"gt": 8}}}}]}) == ["b", "c"] and teams({"NOT": {"members": {"some": {}}}}) == ["c"]
+    assert teams([{"members": {"none": {}}}, {"members": {"some": {"nick": "x"}}}]) == ["a", "c"]
+    assert teams({"members": {"every": {"age": {"gt": 0}}}}) == ["b", "c"] and teams({"members": {"every": {}}}) == ["a", "b", "c"]
+    assert nicks(em, where={"group": {"is": {"members": {"every": {"group": {"is": {"name": "b"}}, "age": 9}}}}}) == ["z"]
+    em.soft_delete("member", {"nick": "z"})
+    assert teams({"members": {"some": {"nick": "z"}}}) == [] and teams({"members": {"some": {"nick": "z"}}}, with_deleted=True) == ["b"]
+    assert em.update_many("team", {"members": {"some": {"nick": "x"}}}, {"name": "A"}) == 1 and em.delete("team", {"members": {"none": {}}}) == 2
+    for bad in ({"members": {"some": None}}, {"members": {"is": {}}}, {"members": {"sum": 1, "some": {}}}):
+        with pytest.raises(InvalidQuery):
+            teams(bad)
+
+
+def test_returning(em):
+    em.insert_many("member", [{"nick": "old", "age": 1}])
+    out = em.insert_builder("member").values([{"nick": "n1", "age": 2}, {"nick": "n2"}]).execute_and_return()
+    assert sorted((r.id, r.nick, r.v) for r in out.collect()) == [(2, "n1", 1), (3, "n2", 1)]
+    rows = [{"id": 1, "nick": "q", "age": 5}, {"id": 2, "nick": "r", "age": 5}, {"id": 9, "nick": "s", "age": 5}]
+    build = lambda: em.insert_builder("member").values(rows).on_conflict("id")
+    assert [r.id for r in build().do_nothing().execute_and_return().collect()] == [9]
+    out = build().do_update(["age"], where=F.col("__old.age") < 2).execute_and_return().collect()
+    assert [(r.id, r.nick, r.age) for r in out] == [(1, "old", 5)]
+
+
+def test_commits_are_exclusive_and_old_versions_go(em, tmp_path):
+    team = em.catalog.entity("team")
+    store = em._store(team)
+    em.insert_many("team", [{"name": "a"}])
+    table, version = em._table(team)
+    head = store._head()
+    assert store._claim(head + 1, "v-other") is True and store._claim(head + 1, "v-mine") is False
+    store.set_back(version)
+    assert store.current() == version and em.count("team") == 1
+    em.insert_many("team", [{"name": "b"}])
+    assert store.vacuum() > 0 and em.count("team") == 2 and len(list((tmp_path / "team").glob("v-*"))) == 1
+
+
+def test_a_failed_flush_sets_tables_back(em):
+    em.insert_many("team", [{"name": "a"}])
+    with pytest.raises(ValidationError), em.transaction() as w:
+        w.persist("team", {"name": "b"})
+        w.persist("member", {"nick": "toolong"})
+    assert [r["name"] for r in em.find("team")] == ["a"] and em.count("member") == 0

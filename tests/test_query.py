@@ -191,3 +191,22 @@ def test_top_n_is_pruned_before_the_shuffle(spark):
 
     plan = page_each_parent(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), "o_custkey", ["o_orderkey"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_on_between_meets_in_cells(spark):
+    """Any numeric or time axis, either side, without a nested loop."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        points = spark.range(300).select("id", (F.col("id") * 1.3).alias("p"), F.timestamp_seconds(F.col("id") * 60).alias("at"))
+        spans = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 20.0).alias("lo"), (F.col("id") * 20.0 + F.col("id")).alias("hi"), F.timestamp_seconds(F.col("id") * 700).alias("t0"), F.timestamp_seconds(F.col("id") * 700 + 100).alias("t1"))
+        for names in (("p", "lo", "hi"), ("at", "t0", "t1")):
+            want = points.join(spans, F.col(names[0]).between(F.col(names[1]), F.col(names[2])))
+            for left, right in ((points, spans), (spans, points)):
+                got = query(left, "a").inner_join(right, lambda j: j.on_between(*names)).to_df()
+                assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+                assert sorted((r.id, r.k) for r in got.collect()) == sorted((r.id, r.k) for r in want.collect())
+            assert query(points, "a").left_join(spans, lambda j: j.on_between(*names)).to_df().count() == points.join(spans, F.col(names[0]).between(F.col(names[1]), F.col(names[2])), "left").count()
+        more = query(points, "a").inner_join(spans, lambda j: j.on_between("p", "lo", "hi").on_val("k", ">", 10)).to_df()
+        assert more.count() == points.join(spans, F.expr("p BETWEEN lo AND hi AND k > 10")).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
