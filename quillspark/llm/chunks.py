@@ -18,6 +18,8 @@ _BEFORE_WORD = re.compile(r"(?= \S)").split
 
 #: Chunks that one worker keeps; at this many it starts anew, so that its memory stays bounded.
 CACHE = 250_000
+#: Characters of a chunk that is kept at most; longer ones are looked up anew each time, which bounds a table's bytes too.
+LONGEST = 64
 
 
 def load(path: str):
@@ -31,13 +33,15 @@ def load(path: str):
 
 
 class Table(dict):
-    """Value of each chunk, made at the first look-up. ``fixed`` entries survive a restart."""
+    """Value of each chunk, made at the first look-up and kept unless the chunk is long. ``fixed`` entries survive a restart."""
 
     def __init__(self, make: Callable, fixed: dict | None = None, most: int = CACHE):
         super().__init__(fixed or {})
         self.make, self.fixed, self.most = make, fixed or {}, most
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.most + len(self.fixed):
             self.clear()
             self.update(self.fixed)

@@ -160,6 +160,10 @@ class TokenBytes:
         if len(self.known) + len(missing) > self.most:
             self.known.clear()
             missing = set().union(*[x for x in split if x])
+        long = {w for w in missing if len(w) > chunks.LONGEST}
+        if long:  # these texts are encoded whole, so that the table's bytes stay bounded
+            split = [None if x is None or not long.isdisjoint(x) else x for x in split]
+            missing -= long
         parts, alone = {}, set()
         for w in missing:
             stem = w.rstrip(".,")
@@ -175,19 +179,27 @@ class TokenBytes:
         return [(self._whole(t) if x is None else b"".join(map(known.__getitem__, x))) + self.end for t, x in zip(texts, split, strict=True)]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] = LIMITS, end_id: int = 1, keep_tokens: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] = LIMITS, end_id: int = 1, keep_tokens: bool = False, prompt_col: str | None = None
+) -> DataFrame:
     """Tokenize every text, cut and pack it; one row for each piece.
 
     A map without shuffle: each task packs what it reads, in blocks, and what
-    a block leaves in an open sequence goes on to the next. At a task's end,
-    the open rest is laid out in sequences whose lengths are powers of two and
-    so need no padding. Every token bears loss here. sequence_id is the task's
-    partition in the upper 31 bits and a count in the lower 32, so a task that
-    runs again after a loss gives the same rows.
-
-    Null and empty texts have the end id alone; null ids and repeated rows are
-    documents of their own; other columns are ignored; an empty table gives no
-    row. ``keep_tokens`` adds the ids of each piece.
+    a block leaves in an open sequence goes on to the next. A sequence that the
+    limits on segments or loss close before it is full, and the open rest at a
+    task's end, are laid out in sequences whose lengths are powers of two and
+    so need no padding. sequence_id is the task's partition in the upper 31
+    bits and a count in the lower 32, so a task that runs again after a loss
+    gives the same rows.
+
+    ``prompt_col`` holds instructions: their tokens come first and bear no
+    loss, those of the text and the end id do. Without it all tokens bear loss,
+    and the limit on loss repeats the one on tokens if both are equal.
+
+    Null and empty texts have the end id alone (behind the prompt's ids); null
+    ids and repeated rows are documents of their own; other columns are
+    ignored; an empty table gives no row. ``keep_tokens`` adds the ids of each
+    piece.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -195,36 +207,43 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         ids_of = TokenBytes(tokenizer_path, end_id)
         base = TaskContext.get().partitionId() << 32
         used = 0
-        held: list[tuple] = []  # (id, doc_tokens, start, bytes) still to place
+        held: list[tuple] = []  # (id, doc_tokens, start, bytes, loss-bearing tokens) still to place
+
+        def powers(parts: list[tuple]) -> Iterator[tuple]:
+            """Parts one behind the other, in sequences of power-of-two lengths."""
+            nonlocal used
+            queue = parts[::-1]
+            for size in tail_sizes(sum(len(x[3]) // 4 for x in parts)):
+                at = 0
+                while at < size:
+                    i, total, first, data, _ = queue.pop()
+                    n = min(size - at, len(data) // 4)
+                    yield i, first, n, data[: 4 * n], total, base + used, at
+                    at += n
+                    if 4 * n < len(data):
+                        queue.append((i, total, first + n, data[4 * n :], 0))
+                used += 1
 
         def settle(last: bool) -> Iterable[tuple]:
             nonlocal used, held
             sizes = [len(x[3]) // 4 for x in held]
-            pieces = pack(sizes, sizes, limits)
-            final = pieces[-1].sequence if pieces else -1
-            kept: list[tuple] = []
-            for p in pieces:
-                i, total, first, data = held[p.example]
-                own = data[4 * p.start : 4 * (p.start + p.length)]
-                if p.sequence == final:
-                    kept.append((i, total, first + p.start, own))
-                else:
-                    yield i, first + p.start, p.length, own, total, base + used + p.sequence, p.offset
-            used += max(final, 0)
-            held = kept
-            if last and kept:
-                queue = [(i, total, first, data) for i, total, first, data in kept][::-1]
-                for size in tail_sizes(sum(len(x[3]) // 4 for x in kept)):
+            sequences: dict[int, list[tuple]] = {}
+            for p in pack(sizes, [x[4] for x in held], limits):
+                i, total, first, data, bearing = held[p.example]
+                loss = max(0, p.start + p.length - max(p.start, sizes[p.example] - bearing))
+                sequences.setdefault(p.sequence, []).append((i, total, first + p.start, data[4 * p.start : 4 * (p.start + p.length)], loss))
+            final, held = max(sequences, default=-1), []
+            for key, parts in sequences.items():
+                if sum(len(x[3]) // 4 for x in parts) == limits[0]:
                     at = 0
-                    while at < size:
-                        i, total, first, data = queue.pop()
-                        n = min(size - at, len(data) // 4)
-                        yield i, first, n, data[: 4 * n], total, base + used, at
-                        at += n
-                        if 4 * n < len(data):
-                            queue.append((i, total, first + n, data[4 * n :]))
+                    for i, total, first, data, _ in parts:
+                        yield i, first, len(data) // 4, data, total, base + used, at
+                        at += len(data) // 4
                     used += 1
-                held = []
+                elif key == final and not last:
+                    held = parts
+                else:
+                    yield from powers(parts)
 
         def rows(made: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
             made = list(made)
@@ -242,14 +261,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                for i, data in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
-                    held.append((i, len(data) // 4, 0, data))
-                    waiting += len(data) // 4
+                answers = ids_of(part.column(1).to_pylist())
+                prompts = [x[: -len(ids_of.end)] for x in ids_of(part.column(2).to_pylist())] if prompt_col else [b""] * len(answers)
+                for i, before, data in zip(part.column(0).to_pylist(), prompts, answers, strict=True):
+                    held.append((i, (len(before) + len(data)) // 4, 0, before + data, len(data) // 4))
+                    waiting += held[-1][1]
                 if len(held) >= BLOCK or waiting >= BLOCK_TOKENS:
                     waiting = 0
                     yield from rows(settle(False))
         yield from rows(settle(True))
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(n) for c, n in ((text_col, "text"), (prompt_col, "prompt")) if c])
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_tokens
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)

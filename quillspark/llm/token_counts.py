@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,46 +11,34 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import chunks
 
-#: Entries of the broadcast table, and of the summary that a task hands in for it.
-FREQUENT, SUMMARY = 16_384, 4_096
-#: Counters that a task holds while it counts; beyond, the rarest half go (only what is broadcast depends on it).
-COUNTERS = 200_000
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                seen.update(chunks.spaced_chunks(text) or ())
-            if len(seen) > COUNTERS:
-                seen = Counter(dict(seen.most_common(COUNTERS // 2)))
-    top = heapq.nlargest(SUMMARY, seen.items(), key=lambda x: x[1])
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["chunk", "n"])
+#: Entries of the broadcast table, each of chunks.LONGEST characters at most.
+FREQUENT = 16_384
+#: Texts, and bytes of each, from which the table is made. It decides about speed alone, never about a count.
+SAMPLE, SAMPLE_BYTES = 4_000, 16_384
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text", entries: int = FREQUENT) -> dict[str, int]:
-    """Token lengths of the most frequent pre-token chunks of all texts.
+    """Token lengths of the most frequent pre-token chunks of SAMPLE texts (those that Spark reads first).
 
-    Every task counts its own texts and hands in at most SUMMARY rows, so no
-    pre-token is shuffled; the driver receives ``entries`` rows at most. What
-    the table holds decides about speed alone, never about a count.
+    The sample's texts come to the driver, SAMPLE x SAMPLE_BYTES at most, so no
+    pre-token is shuffled and the table is read from a small part of the input.
     """
-    top = (
-        docs.select(F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_summaries, "chunk string, n long")
-        .groupBy("chunk").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "chunk").limit(entries)
-    )
+    text = F.col(text_col).cast("string")
+    sample = docs.select(text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE)
+    seen: Counter = Counter()
+    for r in sample:
+        seen.update(chunks.spaced_chunks(r.text) or ())
+    top = sorted((-n, c) for c, n in seen.items() if n > 1 and len(c) <= chunks.LONGEST)[:entries]
     tokenizer = chunks.load(tokenizer_path)
-    return {r.chunk: len(tokenizer.encode(r.chunk, add_special_tokens=False).ids) for r in top.collect()}
+    return {c: len(tokenizer.encode(c, add_special_tokens=False).ids) for _, c in top}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, frequent: dict[str, int] | None = None) -> DataFrame:
     """One row for each input row: id, n_bytes, n_tokens, over_limit.
 
     The first tier is a broadcast table of at most FREQUENT chunk lengths, the
-    second a bounded cache in each worker, filled by the tokenizer itself.
+    second a bounded cache in each worker, filled by the tokenizer itself. The
+    plan is one map, without any exchange.
     Null and empty texts have 0 bytes and 0 tokens; null ids and repeated rows
     stay as they are; other columns are ignored; an empty table gives no row.
     """

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import chunks, packing, token_counts
 
@@ -115,3 +116,44 @@ def test_limits_hold_together():
         assert dict(whole) == {i: x for i, x in enumerate(n) if x}
     with pytest.raises(ValueError):
         packing.pack([600], [0], limits, cut=False)
+
+
+def test_counts_without_exchange_or_large_tables(spark):
+    """No pre-token is shuffled, and long chunks are neither broadcast nor kept."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "".join(chr(0x4E00 + (i * 7 + k) % 3000) for k in range(3000)) + " the the") for i in range(20)], "doc_id long, text string")
+    frequent = token_counts.frequent_lengths(docs, path)
+    assert list(frequent) == [" the"]
+    out = token_counts.count_tokens(docs, path, frequent=frequent)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    tokenizer = chunks.load(path)
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
+    ids_of = packing.TokenBytes(public_tokenizers.path("word_bpe_49k.json"), 1)
+    ids_of(["short " + "x" * 500])
+    assert max(map(len, ids_of.known), default=0) <= chunks.LONGEST
+
+
+def test_tiny_documents_are_not_padded(spark):
+    docs = spark.range(0, 1500, 1, 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(rows) >= 1500 and check_layout(rows) == 0
+
+
+def test_instructions_bear_no_loss(spark):
+    """The limit on loss-bearing tokens decides, and prompts don't count for it."""
+    path, limits = public_tokenizers.path("word_bpe_49k.json"), (256, 32, 40)
+    r = random.Random(3)
+    told = [(i, " ".join(["ask"] * r.randint(0, 90)) or None, " ".join(["tell"] * r.randint(0, 60))) for i in range(120)]
+    docs = spark.createDataFrame(told, "doc_id long, prompt string, text string").coalesce(2)
+    rows = packing.pack_documents(docs, path, limits=limits, prompt_col="prompt", keep_tokens=True).collect()
+    tokenizer = chunks.load(path)
+    ids = lambda x: tokenizer.encode(x or "", add_special_tokens=False).ids
+    whole = {i: (ids(p), [*ids(t), 1]) for i, p, t in told}
+    loss, placed = defaultdict(int), defaultdict(list)
+    for x in rows:
+        prompt, answer = whole[x.doc_id]
+        assert x.doc_tokens == len(prompt) + len(answer)
+        loss[x.sequence_id] += max(0, x.start + x.length - max(x.start, len(prompt)))
+        placed[x.doc_id].append((x.start, x.ids))
+    assert {i: [t for _, own in sorted(v) for t in own] for i, v in placed.items()} == {i: p + a for i, (p, a) in whole.items()}
+    assert max(loss.values()) == limits[2] and check_layout(rows, limits) == 0
