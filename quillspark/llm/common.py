@@ -17,31 +17,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local sessions without spark.checkpoint.dir, and the tables stored so far, by application.
+_folders: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
+    """This session's part of the folder that all executors share: spark.checkpoint.dir.
 
-    Where it is unset (local runs and tests), a temporary folder is made and
-    put into the session, so that later calls find the same one.
+    Where that is unset, a local session gets a temporary folder; on a cluster
+    it is an error, as each machine would write to a disk of its own.
     """
+    app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="quillspark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _folders:
+            _folders[app] = tempfile.mkdtemp(prefix="quillspark-")
+            atexit.register(shutil.rmtree, _folders[app], ignore_errors=True)
+        found = _folders[app]
+    return f"{found.rstrip('/')}/quillspark/{app}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss undoes it."""
-    path = f"{shared_dir(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_tables(spark: SparkSession) -> list[str]:
+    """The paths of this session's stored tables, in order."""
+    return list(_tables.get(spark.sparkContext.applicationId, []))
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Remove what ``stored`` has written. Results that still read from it must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def clear_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove this session's stored tables, or those of ``paths``. Results that still read from them must have been written before."""
+    own = _tables.get(spark.sparkContext.applicationId, [])
+    for p in list(own) if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in own:
+            own.remove(p)
 
 
 #: Bytes and rows of a table that is broadcast at most; larger ones are joined by a shuffle.

@@ -99,7 +99,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Buckets of so many classes or fewer are compared pair by pair, which bounds the pairs by a multiple of the members.
 PAIRWISE = 16
-#: Hubs of each larger bucket in the rounds after the first.
+#: Hubs of each larger bucket in further rounds.
 HUBS = 4
 #: Documents of a block, and bytes of their texts, about which blocks are compared (one longer text is a block of its own).
 BLOCK, BLOCK_BYTES = 512, 4 << 20
@@ -203,7 +203,7 @@ def _compare(words: int, percent: int):
                 x, y = (block(batch.column(c)[i].as_py(), batch.column(c + 1)[i].values) for c in (0, 2))
                 for p, q in _linked(x, y, x is y, percent):
                     a.append(min(x[0][p], y[0][q])), b.append(max(x[0][p], y[0][q]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -270,7 +270,7 @@ def crossing_links(members: DataFrame, texts: DataFrame, words: int, percent: in
     met = side("_a").join(side("_b"), "key").filter((F.col("block_a") <= F.col("block_b")) & several).select(F.col("block_a").alias("a"), F.col("block_b").alias("b")).distinct()
     rows = stored(blocks.groupBy("block").agg(F.collect_list(F.struct("id", "component", "n", "sig", "text", "keys")).alias("rows")), "packed")
     full = met.join(rows.toDF("a", "rows_a"), "a").join(rows.toDF("b", "rows_b"), "b").select("a", "rows_a", "b", "rows_b")
-    return full.mapInArrow(_compare(words, percent), "a binary, b binary")
+    return full.mapInArrow(_compare(words, percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -321,10 +321,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     more are linked; component_id is the smallest id reachable over links, and
     the document that bears it is kept. Documents with equal sets form a class
     and only one text of it goes on. Candidates are all pairs in small buckets
-    and a star in each larger one; wherever a larger bucket still holds several
-    components, further rounds with other hubs follow for as long as they find
-    links, and then all members of different components that share a bucket
-    are compared in blocks. Every link is confirmed on the whole sets.
+    and a star in each larger one. Where larger buckets still hold several
+    components, stars with other hubs follow for as long as they halve the
+    components, and then all members of different components that share a
+    bucket are compared in blocks. Every link is confirmed on the whole sets.
 
     Texts without words, null ones included, are linked with nothing. Rows
     with a null id take no part: their component is null and they are kept.
@@ -333,48 +333,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     sketch = stored(sketches(docs, words, id_col, text_col), "sketches")
     some = sketch.filter(F.col("id").isNotNull() & F.col("set_key").isNotNull())
-    # a class is known by its set_key; the row of its smallest id lends it a text
-    classes = stored(some.groupBy("set_key").agg(F.min(F.struct("id", "th")).alias("r"), F.count("*").alias("rows")).select("set_key", F.col("r.id").alias("rep"), F.col("r.th").alias("th"), "rows"), "classes")
-    lent = classes.select(F.col("set_key").alias("k"), F.col("rep").alias("id"), "th")
-    reps = stored(some.join(lent, ["id", "th"]).filter("k = set_key").select(F.col("set_key").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["id"]), "representatives")
+    # a class is a set, known by a number of its own; the row of its smallest id lends it a text
+    classes = some.groupBy("set_key").agg(F.min(F.struct("id", "th")).alias("r"), F.count("*").alias("rows"))
+    classes = stored(classes.select("set_key", F.monotonically_increasing_id().alias("node"), F.col("r.id").alias("rep"), F.col("r.th").alias("th"), "rows"), "classes")
+    lent = classes.select(F.col("set_key").alias("k"), "node", F.col("rep").alias("id"), "th")
+    reps = stored(some.join(lent, ["id", "th"]).filter("k = set_key").select(F.col("node").alias("id"), F.col("id").alias("rep"), "th", F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["id"]), "representatives")
     bands = reps.select("id", "n", F.explode("bands").alias("key"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.xxhash64("id")).alias("hub")).filter("c > 1")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).filter("c > 1")
     members = stored(bands.join(sizes, "key"), "buckets")
-    hubs = members.filter((F.col("c") > PAIRWISE) & (F.xxhash64("id") == F.col("hub"))).select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    hubs = members.filter((F.col("c") > PAIRWISE) & (F.col("id") == F.col("hub"))).select("key", F.col("id").alias("a"), F.col("n").alias("na"))
     stars = members.filter(F.col("c") > PAIRWISE).select("key", F.col("id").alias("b"), F.col("n").alias("nb")).join(hubs, "key").select("a", "na", "b", "nb")
     pairs = stored(_sized(_pairs(members.filter(F.col("c") <= PAIRWISE).select("key", "id", "n")).unionAll(stars), percent), "pairs")
-    wanted = members.select("id").distinct()
-    own = reps.select("id", "n", "sig").join(wanted, "id", "left_semi").join(classes.select(F.col("set_key").alias("id"), "rep", "th"), "id")
+    own = reps.select("id", "rep", "th", "n", "sig").join(members.select("id").distinct(), "id", "left_semi")
     slim = _slim(docs, id_col, text_col).withColumnRenamed("id", "rep")
     texts = stored(slim.join(own, ["rep", "th"]).select("id", "n", "sig", "text").dropDuplicates(["id"]), "texts")
     links = stored(confirmed(pairs, texts, words, percent), "links")
     marks = components(links)
-    large = members.filter(F.col("c") > PAIRWISE).select("key", "id", "n")
-    tried, turn = pairs, 0
-    while not large.isEmpty():
+    large, left, turn = members.filter(F.col("c") > PAIRWISE).select("key", "id", "n"), None, 0
+    while True:
         turn += 1
-        # stored, as it is read twice: for the buckets of several components, and for their members
         known = stored(large.join(marks, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "known")
-        mixed_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        large = stored(known.join(mixed_keys, "key", "left_semi"), "mixed")
-        if large.isEmpty():
+        several = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+        known = stored(known.join(several, "key", "left_semi"), "mixed")
+        ids, now = known.agg(F.approx_count_distinct("id"), F.approx_count_distinct("component")).head()
+        if not now:
             break
-        first = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", "key", F.lit(HUBS * turn + k)).alias("h"), "id", "n", "component")).alias(f"h{k}") for k in range(HUBS)])
-        hubs = first.select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h")).select("key", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca")).distinct()
-        crossing = large.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), "component").join(hubs, "key").filter("ca <> component").select("a", "na", "b", "nb")
-        fresh = stored(_sized(crossing, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = stored(confirmed(fresh, texts, words, percent), "links")
-        tried = tried.unionAll(fresh)
-        if more.isEmpty():
-            links = links.unionAll(stored(crossing_links(large.select("key", "id", "component"), texts, words, percent), "links"))
+        if 2 * now > (ids if left is None else left):  # stars no longer halve the components
+            links = links.unionAll(stored(crossing_links(known.select("key", "id", "component"), texts, words, percent), "links"))
             break
-        links = links.unionAll(more)
+        left = now
+        first = known.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", "key", F.lit(HUBS * turn + k)).alias("h"), "id", "n", "component")).alias(f"h{k}") for k in range(HUBS)])
+        hubs = first.select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h")).select("key", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca")).distinct()
+        crossing = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), "component").join(hubs, "key").filter("ca <> component").select("a", "na", "b", "nb")
+        links = links.unionAll(stored(confirmed(stored(_sized(crossing, percent), "pairs"), texts, words, percent), "links"))
         marks = components(links)
-        large = large.select("key", "id", "n")
+        large = known.select("key", "id", "n")
     # classes that one id's texts stand in are one document
-    ids = some.select("id", "set_key").distinct().groupBy("id").agg(F.min("set_key").alias("a"), F.collect_list("set_key").alias("all")).filter(F.size("all") > 1)
-    marks = components(links.unionAll(ids.select("a", F.explode("all").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    joined = classes.join(marks, F.col("set_key") == F.col("id"), "left").select("set_key", "rep", "rows", F.coalesce("component", "set_key").alias("component"))
+    ids = some.join(classes.select("set_key", "node"), "set_key").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all")).filter("a <> z")
+    marks = components(links.unionAll(ids.select("a", F.explode("all").alias("b")).filter("a <> b")))
+    joined = classes.join(marks, F.col("node") == F.col("id"), "left").select("set_key", "rep", "rows", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))
     found = stored(joined.join(least, "component").select("set_key", "least", "rows"), "components")
     often = sized(found.filter(F.col("rows") >= MANY_ROWS).select(F.col("set_key").alias("often_key"), F.col("least").alias("often")), "often")

@@ -1,5 +1,6 @@
 """Shared storage."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
@@ -8,8 +9,26 @@ from quillspark.llm import common
 def test_stored_and_cleared(spark):
     df = common.stored(spark.range(5), "t")
     assert df.count() == 5 and df.dtypes == spark.range(5).dtypes
+    own = common.stored_tables(spark)[-1]
+    other = common.stored(spark.range(3), "t")
+    common.clear_stored(spark, [own])
+    assert other.count() == 3 and own not in common.stored_tables(spark)
     common.clear_stored(spark)
-    assert common.stored(spark.range(2), "t").count() == 2
+    assert common.stored_tables(spark) == [] and common.stored(spark.range(2), "t").count() == 2
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:
+            applicationId, master = "app", "spark://somewhere"
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert common.shared_dir(Session) == common.shared_dir(Session)
 
 
 def test_broadcast_only_within_bounds(spark, monkeypatch):
