@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import sized, stored
+from quillspark.llm.common import helper_names, sized, stored
 
-#: Words, before A-Z are lower-cased (the letters A-Z are no separators then).
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words, before A-Z are lower-cased (the letters A-Z are no separators then).
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of windows that one broadcast table holds at most; more windows are joined in several blocks.
 BLOCK_BYTES = 4 << 20
 
@@ -16,7 +16,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+    """Splitting at separators takes two thirds of the time of extracting the words."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), BETWEEN_WORDS), "")
 
 
 def _plain(word: Column) -> Column:
@@ -100,8 +101,15 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in which windows of fewer than ``least_items`` items occur."""
+    """The rows of ``docs``, all columns, in which windows of fewer than ``least_items`` items occur.
+
+    Rows with a null id or text stay unless their text is hit; of equal rows
+    all stay or all go. Columns may have any names; an empty table stays empty,
+    and without items nothing goes.
+    """
+    name = helper_names(docs, "id", "h", "l")
     found = benchmark_hits(docs, items, size, id_col, text_col, keyed=True).filter(F.size("items") >= least_items)
-    gone = sized(found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("l").alias("_l")), "gone")
+    gone = sized(found.select(F.col("id").alias(name["id"]), F.col("h").alias(name["h"]), F.col("l").alias(name["l"])), "gone")
     text = F.col(text_col).cast("string")
-    return docs.join(gone, (F.xxhash64(text) == F.col("_h")) & F.length(text).eqNullSafe(F.col("_l")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    same = (F.xxhash64(text) == F.col(name["h"])) & F.length(text).eqNullSafe(F.col(name["l"])) & F.col(id_col).eqNullSafe(F.col(name["id"]))
+    return docs.join(gone, same, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import sized, stored
+from quillspark.llm.common import helper_names, sized, stored
 
 #: Kinds in the order in which spans at one place are listed. The first three are reported wherever they stand.
 KINDS = ("assign", "access", "hex", "user", "blob", "endpoint")
@@ -121,16 +121,33 @@ def listed(spans: str, base: bool = False) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """All rows and columns of ``docs``; in the text, ``mark`` stands for every span. Overlapping spans are one."""
+    """All rows and columns of ``docs``; in the text, ``mark`` stands for every span. Overlapping spans are one.
+
+    Null texts stay null and texts without spans as they are; null ids and
+    repeated rows are redacted like others. Columns may have any names; an
+    empty table stays empty.
+    """
+    name = helper_names(docs, "id", "h", "l", "spans")
     found = find_secrets(docs, id_col, text_col, scope, keyed=True).filter(F.size("spans") > 0)
-    spans = sized(found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("l").alias("_l"), F.col("spans").alias("_spans")), "spans")
-    text = F.col(text_col).cast("string")
-    met = docs.join(spans, (F.xxhash64(text) == F.col("_h")) & F.length(text).eqNullSafe(F.col("_l")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    spans = sized(found.select(F.col("id").alias(name["id"]), F.col("h").alias(name["h"]), F.col("l").alias(name["l"]), _merged("spans").alias(name["spans"])), "spans")
+    text, own = F.col(text_col).cast("string"), F.col(name["spans"])
+    same = (F.xxhash64(text) == F.col(name["h"])) & F.length(text).eqNullSafe(F.col(name["l"])) & F.col(id_col).eqNullSafe(F.col(name["id"]))
+    # what stands before each span, with the mark behind it, and what follows the last; put together once
+    before = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0).cast("long"))
+    parts = F.transform(own, lambda x, i: F.concat(F.substr(text, (before(i) + 1).cast("int"), (x["start"] - before(i)).cast("int")), F.lit(mark)))
+    rest = F.substr(text, (F.element_at(own, -1)["end"] + 1).cast("int"))
+    made = F.array_join(F.array_append(parts, rest), "")
+    return docs.join(spans, same, "left").withColumn(text_col, F.when(own.isNotNull(), made).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _merged(spans: str) -> Column:
+    """Disjoint (start, end), sorted, that cover what the spans (sorted by start) cover; spans that only touch stay apart."""
+    whole = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def add(done: Column, x: Column) -> Column:
-        fresh = F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"))
+        last = F.get(done, F.size(done) - 1)
+        wider = F.array_append(F.slice(done, 1, F.size(done) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
+        apart = F.array_append(done, F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+        return F.when((F.size(done) > 0) & (x["start"] < last["end"]), wider).otherwise(apart)
 
-    made = F.aggregate("_spans", none, add, lambda d: F.concat(d["out"], F.substr(text, (d["at"] + 1).cast("int"))))
-    return met.withColumn(text_col, F.when(F.col("_spans").isNotNull(), made).otherwise(text)).select(*docs.columns)
+    return F.aggregate(spans, whole, add)

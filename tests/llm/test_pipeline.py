@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import queries, toxicity
 from quillspark.llm.common import stored
@@ -91,5 +92,24 @@ def test_odd_rows(spark):
     assert empty.collect() == []
 
 
+def test_clashing_names(spark):
+    """Helper columns give way to the input's own columns, whatever these are called."""
+    extra = ["_id", "_h", "_l", "_spans", "_n", "_gone", "_Rank", "__id", "component_id", "kept"]
+    rows = [(1, "a b c d e f g", "en", "s", 3), (2, "a b c d e f g", "en", "s", 3), (2, "token=abcdefghijkl", "en", "s", 5), (3, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = stored(f(spark, docs, SF), "clash")
+    assert docs.columns[5:] == extra and all(r["_spans"] == "x" for r in docs.collect())
+    assert sorted((r.doc_id, r.text) for r in docs.collect() if r.text) == [(1, "a b c d e f g")] and {r.doc_id for r in docs.collect()} == {1, 3}
+
+
+def test_run_is_all_stages(spark, steps):
+    got = corpus_pipeline.run(spark, SF)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    key = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()))
+    assert got.columns == steps[-1].columns and set(columns) <= set(got.columns)
+    assert key(got) == key(steps[-1])
+
+
 def test_registered():
     assert queries.queries()["pipeline"] is corpus_pipeline.run and toxicity.CUT == 0.7
