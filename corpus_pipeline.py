@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir), docs with the columns of ``documents``, and
 returns these columns again; the last returns the pieces of packed sequences.
+Further columns pass through under any name. Rows with a null id are kept
+unless their text is toxic or holds a benchmark passage; null and empty texts
+are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, near_dup, packing, secrets, toxicity
-from quillspark.llm.common import crc_mod, stored, table
+from quillspark.llm.common import clear_stored, crc_mod, stored, stored_tables, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences; a null text is its end id alone. No rows, no pieces."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -47,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage stored on the way goes once its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = set(stored_tables(spark))
         docs = stored(stage(spark, docs, sf_dir), name)
+        own = [p for p in stored_tables(spark) if p not in before]
+        clear_stored(spark, [*own[:-1], *last])
+        last = own[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
