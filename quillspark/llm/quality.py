@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import as_bytes
+from quillspark.llm.common import as_bytes, sized
 
 #: Labelled documents that training sees at most, of each label; taken by a hash of their id.
 SAMPLE = 3_000
 #: Preference pairs in which each document of the sample stands at least once, and so many at most.
 PAIRS = 40_000
+#: Steps of a utility's unit in which documents are counted for the threshold.
+STEPS = 1024
 #: The score at which a text counts as good.
 CUT = 0.3
 
@@ -95,49 +97,74 @@ def learn_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: flo
     return Ranker(mean, std, w)
 
 
-def train(x: np.ndarray, labels: np.ndarray, share_good: float, seed: int = 3) -> Ranker:
+def train(x: np.ndarray, labels: np.ndarray, share_good: float, counted: tuple[np.ndarray, np.ndarray] | Callable | None = None, seed: int = 3) -> Ranker:
     """Learn from pairs between the labels, then set the threshold at the quantile of utilities that leaves ``share_good`` above it.
 
-    With one label alone, every score is far on that side; without any, above.
+    counted: rising utilities and how many documents have each, or a function
+    of the ranker that finds them; by default those of the sample, each label
+    with the share it has among all labelled documents. With one label alone,
+    every score is far on that side; without any, above.
     """
     labels = np.asarray(labels)
     if len(labels) == 0 or labels.min() == labels.max():
         far = 50.0 if len(labels) and labels.max() == 0 else -50.0
         return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES), far)
     ranker = learn_pairs(x, *preference_pairs(labels, np.random.default_rng(seed)))
-    u = ranker.utilities(x)
-    # weights that give each label the share it has among all labelled documents
-    weight = np.where(labels == 1, share_good / (labels == 1).sum(), (1 - share_good) / (labels == 0).sum())
-    order = np.argsort(u)
-    ranker.threshold = _between(u[order], np.cumsum(weight[order]), 1 - share_good)
+    if counted is None:
+        u = ranker.utilities(x)
+        weight = np.where(labels == 1, share_good / (labels == 1).sum(), (1 - share_good) / (labels == 0).sum())
+        order = np.argsort(u)
+        counted = u[order], weight[order]
+    u, weight = counted(ranker) if callable(counted) else counted
+    ranker.threshold = _between(u, np.cumsum(weight) / weight.sum(), 1 - share_good)
     ranker.scale = 1.5
     return ranker
 
 
 def _between(u: np.ndarray, cumulated: np.ndarray, q: float) -> float:
     """The weighted quantile, moved to the middle of the gap around it."""
-    at = min(int(np.searchsorted(cumulated, q)), len(u) - 2)
-    return float((u[at] + u[at + 1]) / 2)
+    at = max(0, min(int(np.searchsorted(cumulated, q)), len(u) - 2))
+    return float((u[at] + u[min(at + 1, len(u) - 1)]) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
     """Train on a bounded sample of labelled documents: SAMPLE of each label at most, by a hash of the id.
 
     ``usable`` is a condition on the labels table. Rows without id or label are
-    left out, repeated ids count once. The share of good documents is taken
-    over all usable labels.
+    left out, repeated ids count once. The share of good documents and the
+    quantile of utilities that goes with it are taken over all usable labels;
+    only features of the sample and counts of utilities come to the driver.
     """
     known = labels.filter(usable) if usable is not None else labels
     known = known.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    known = sized(known, "labels")
     share = known.agg(F.avg("_y")).head()[0]
     sample = None
     for y in (0, 1):
         part = known.filter(F.col("_y") == y).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE)
         sample = part if sample is None else sample.unionAll(part)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    rows = slim.join(F.broadcast(sample), "_id").select("_id", "_y", "_t").toArrow().sort_by("_id")
-    x = np.stack([features(t) for t in rows["_t"].to_pylist()]) if rows.num_rows else np.zeros((0, FEATURES))
-    return train(x, np.array(rows["_y"].to_pylist(), dtype=np.int64), float(share if share is not None else 1.0))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    rows = _featured(slim.join(F.broadcast(sample), "_id")).toArrow().sort_by("id")
+    x = np.array(rows["f"].to_pylist(), dtype=np.float64).reshape(rows.num_rows, FEATURES)
+
+    def counted(ranker: Ranker) -> tuple[np.ndarray, np.ndarray]:
+        all_known = score(slim.join(known.filter(F.col("_y").isin(0, 1)), "_id"), ranker, "_id", "_t")
+        found = all_known.groupBy(F.floor(F.col("utility") * STEPS).alias("at")).agg(F.count("*").alias("c")).toArrow().sort_by("at")
+        return (found["at"].to_numpy() + 0.5) / STEPS, found["c"].to_numpy().astype(np.float64)
+
+    return train(x, np.array(rows["y"].to_pylist(), dtype=np.int64), float(share if share is not None else 1.0), counted)
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """id, y and the features of each document."""
+    kind = dict(docs.dtypes)["_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([features(t) for t in as_bytes(batch.column(2))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["id", "y", "f"])
+
+    return docs.select("_id", "_y", "_t").mapInArrow(run, f"id {kind}, y int, f array<double>")
 
 
 def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality and toxicity: held-out accuracy and the edges of the input."""
 
+import math
 import random
 import zlib
 
@@ -100,3 +101,62 @@ def test_toxicity_is_calibrated_over_all_usable_labels(spark, monkeypatch):
     used = [x for x in rows if x[0] % 4 < 3]
     count = lambda lang: tuple(sum(x[3] == y and (not lang or x[2] == lang) for x in used) for y in (0, 1))
     assert seen == [count(None), count("de"), count("en")]
+
+
+def plain_quality(ranker, text):
+    """Features and score of one text, written out."""
+    words, n = text.split(), len(text)
+    if not words:
+        f = [1.0] + [0.0] * (quality.FEATURES - 1)
+    else:
+        upper, lower = sum(65 <= b <= 90 for b in text), sum(97 <= b <= 122 for b in text)
+        high, digits = sum(b >= 128 for b in text), sum(48 <= b <= 57 for b in text)
+        marks = [text.count(bytes([m])) for m in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+        lines, sizes = [x for x in text.split(b"\n") if x.strip()], [len(w) for w in words]
+        mean = sum(sizes) / len(sizes)
+        shares = [upper / max(1, upper + lower + high), digits / n, high / n, sum(marks) / n, *[m / len(words) for m in marks], len(set(words)) / len(words), 1 - len(set(lines)) / len(lines), sizes.count(1) / len(sizes)]
+        shapes = [math.log1p(len(words)), math.log1p(len(words) / len(lines)), math.log(mean), math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)) / mean, math.log1p(max(sizes))]
+        f = [0.0, *[math.sqrt(x) for x in shares], *shapes]
+    z = [(v - m) / s for v, m, s in zip(f, ranker.mean, ranker.std, strict=True)]
+    u = sum(w * v for w, v in zip(ranker.weights, [*[3 * math.tanh(x / 3) for x in z], *[math.tanh(abs(x) - 1) for x in z]], strict=True))
+    return 1 / (1 + math.exp(-max(-40, min(40, ranker.scale * (u - ranker.threshold) + math.log(0.3 / 0.7))))), u
+
+
+def test_quality_scores_and_threshold_are_those_written_out(spark):
+    """The query's scores on the whole table, and the threshold at the quantile of all usable labels."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    ranker = quality.fit(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    want = {r.doc_id: plain_quality(ranker, (r.text or "").encode()) for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op1_quality(spark, SF).collect()}
+    assert len(got) == len(want) and all(abs(got[i].score - s) < 1e-6 and got[i].predicted == (got[i].score >= 0.3) for i, (s, _) in want.items())
+    used = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.quality is not None]
+    above = np.mean([want[r.doc_id][1] >= ranker.threshold for r in used])
+    assert abs(above - np.mean([r.quality for r in used])) < 0.01
+
+
+def plain_toxicity(model, buckets):
+    """Score of one text by loops over segments, positions, widths and offsets."""
+    rows = [sum((model.emb[model.place[b]] for b in word), np.zeros(toxicity.DIM)) for word in buckets]
+    segments = -(-(len(rows) + max(toxicity.WIDTHS) - 1) // toxicity.SEGMENT)
+    rows += [np.zeros(toxicity.DIM)] * (segments * toxicity.SEGMENT - len(rows))
+    tops, offset = [], 0
+    for j, width in enumerate(toxicity.WIDTHS):
+        own = model.filters[:, toxicity.FILTERS * offset : toxicity.FILTERS * (offset + width)].reshape(toxicity.DIM, width, toxicity.FILTERS)
+        y = [sum((rows[at - k] @ own[:, k] for k in range(width) if at >= k), np.zeros(toxicity.FILTERS)) for at in range(len(rows))]
+        bias = model.bias[j * toxicity.FILTERS : (j + 1) * toxicity.FILTERS]
+        tops.append([np.maximum(np.max(y[s : s + toxicity.SEGMENT], axis=0) + bias, 0) for s in range(0, len(rows), toxicity.SEGMENT)])
+        offset += width
+    pooled = np.concatenate([*[np.max(t, axis=0) for t in tops], *[np.mean(t, axis=0) for t in tops]])
+    z = pooled @ model.out + model.shift
+    return 1 / (1 + math.exp(-max(-40, min(40, model.scale * (z - model.centre) + math.log(0.7 / 0.3)))))
+
+
+def test_toxicity_scores_are_those_written_out(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    texts = {r.doc_id: toxicity.word_buckets((r.text or "").encode()) for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, SF).collect()}
+    assert len(got) == len(texts)
+    for i in sorted(texts, key=lambda i: (len(texts[i]) > 600, i))[:300]:
+        assert abs(got[i].score - plain_toxicity(model, texts[i])) < 1e-4
+    assert all(r.predicted == (r.score >= 0.7) and r.rejected == (r.score >= r.threshold) for r in got.values())
