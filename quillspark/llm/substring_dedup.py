@@ -114,7 +114,7 @@ class Block:
         second = np.zeros(len(at), np.uint64)
         for k in range(self.size):
             second += all_words[first + k] * _FACTORS[1, k]
-        second = (_mixed(second) >> np.uint64(48)).astype(np.uint16)
+        second = _mixed(second)
         h, ids = self.windows[at], self.ids[own]
         order = np.lexsort((ids, second, h))
         new = np.ones(len(order), dtype=bool)
@@ -233,11 +233,11 @@ def _candidates(bits: int, local_bits: int, second_bits: int):
 
 
 def _merge_candidates(group: pa.Table) -> pa.Table:
-    """Group the windows of one shard exactly; to each block, a bit for each of its windows: a smaller id exists elsewhere."""
+    """Group the windows of one shard by both hashes; to each block, a bit for each of its windows: a smaller id exists elsewhere."""
     sizes = group["n"].to_pylist()
     join = lambda column, f: np.concatenate([f(x, n) for x, n in zip(group[column].to_pylist(), sizes, strict=True)])
     h = join("a", lambda x, n: _risen(x, n, "<u8"))
-    second = join("b", lambda x, n: _unpacked(x, n, "<u2"))
+    second = join("b", lambda x, n: _unpacked(x, n, "<u8"))
     ids = join("c", lambda x, n: _unpacked(x, n, "<i8"))
     order = np.lexsort((ids, second, h))
     new = np.ones(len(order), dtype=bool)
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", tex
     Null and empty texts have no words. Rows with a null id neither lose words
     nor make others lose any; rows that repeat an id are one document to each
     other. Other columns are ignored; an empty table gives no row. Windows are
-    grouped by 80 bits of two hashes.
+    equal if 128 bits of two hashes of their words are.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = stored(slim.mapInArrow(_to_blocks(block_bytes), "block long, bytes long, payload binary"), "blocks")
