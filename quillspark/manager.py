@@ -22,7 +22,7 @@ from quillspark.plans.raw import RawQuery
 from quillspark.plans.where import compile_where
 from quillspark.sources.catalog import Catalog, current_tenant, tenant
 from quillspark.sources.entity import Entity, Relation
-from quillspark.sources.store import Snapshots
+from quillspark.sources.store import Memory, Snapshots
 from quillspark.streaming.batches import Pipeline, batched_rows
 
 OPTIONS = {"where", "select", "order", "take", "skip", "relations", "with_count", "with_deleted", "group_by", "having", "distinct", "without_tenant", "lock"}
@@ -109,14 +109,16 @@ class ResultCache:
 
 
 class EntityManager:
-    def __init__(self, spark: SparkSession, root: str | None = None, strict_tenants: bool = False):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str | None = None, strict_tenants: bool = False, in_memory: bool = False):
+        self.spark, self.root, self.in_memory = spark, root, in_memory
         self.catalog = Catalog(spark, strict_tenants)
         self.events, self.tracker, self.cache, self.plugins = Events(), Tracker(), ResultCache(), {}
 
     # set-up
     def register(self, entity: Entity, source=None) -> Entity:
-        """Bind an entity to a source; without one, to a writable table under the manager's root."""
+        """Bind an entity to a source; without one, to a writable table under the manager's root, or in memory."""
+        if source is None and self.in_memory:
+            source = Memory(self.spark, entity.schema())
         if source is None:
             if self.root is None:
                 raise QuillError("a manager without root needs a source")
@@ -299,9 +301,9 @@ class EntityManager:
         return self._aggregate("max", name, prop, where)
 
     # writes
-    def _store(self, entity: Entity) -> Snapshots:
+    def _store(self, entity: Entity) -> Snapshots | Memory:
         store = self.catalog.entities[entity.name][1]
-        if not isinstance(store, Snapshots):
+        if not isinstance(store, (Snapshots, Memory)):
             raise QuillError(f"{entity.name} is not writable")
         return store
 
@@ -610,7 +612,7 @@ class EntityManager:
         """
         buffer = WriteBuffer(self)
         yield buffer
-        stores = [s for _, s in self.catalog.entities.values() if isinstance(s, Snapshots)]
+        stores = [s for _, s in self.catalog.entities.values() if isinstance(s, (Snapshots, Memory))]
         before = [s.current() for s in stores]
         try:
             buffer.flush()

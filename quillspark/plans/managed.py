@@ -15,6 +15,7 @@ from quillspark.operators import write
 from quillspark.plans.catalogue import Tables, twin
 from quillspark.plans.query import SelectQuery, query
 from quillspark.plans.raw import RawQuery
+from quillspark.plans.where import exists, not_exists
 from quillspark.sources.catalog import describe_table, introspect, list_tables, tenant
 from quillspark.sources.entity import Column, Relation, define_entity
 from quillspark.streaming.batches import Pipeline
@@ -369,6 +370,18 @@ def rel_composite_key(t):
     return query(q.to_df().select(F.col("nation").alias("n_nationkey"), F.explode("staff").alias("x")).select("n_nationkey", F.col("x.s_suppkey").alias("s_suppkey")))
 
 
+@twin("""SELECT c_custkey FROM customer WHERE c_acctbal > 9500 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+def exists_under_or(t):
+    dear = exists(t.orders.where("o_totalprice", ">", 400000), {"c_custkey": "o_custkey"})
+    return t.customer.where("c_acctbal", ">", 9500).or_where(dear).or_where(not_exists(t.orders, {"c_custkey": "o_custkey"})).select("c_custkey")
+
+
+@twin("""SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) AS has, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) THEN 1 ELSE 0 END AS poor FROM nation""")
+def exists_in_select(t):
+    rich = not_exists(t.customer.where("c_acctbal", ">", 9900), {"n_nationkey": "c_nationkey"})
+    return t.nation.select("n_nationkey", exists(t.supplier.where("s_acctbal", ">", 5000), {"n_nationkey": "s_nationkey"}).as_("has"), E.iff(rich, 1, 0).as_("poor"))
+
+
 # joins of relations
 
 

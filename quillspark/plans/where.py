@@ -119,3 +119,17 @@ def _exists(rows: DataFrame, keys: list[tuple[str, str]]) -> Column:
     for i, (own, _) in enumerate(keys):
         inner = inner.filter(F.col(f"__related_{i}") == F.col(own).outer())
     return inner.exists()
+
+
+def exists(sub, on: dict[str, str] | None = None) -> Expr:
+    """EXISTS (subquery) as an expression, for use under OR and NOT, in CASE and in select lists.
+
+    on: {column of the outer row: column of the subquery}; both must be equal.
+    Without it the subquery stands alone.
+    """
+    rows = sub if isinstance(sub, DataFrame) else sub.to_df()
+    return Expr(_exists(rows, list(on.items())) if on else rows.exists())
+
+
+def not_exists(sub, on: dict[str, str] | None = None) -> Expr:
+    return not_(exists(sub, on))

@@ -6,12 +6,13 @@ import contextlib
 import contextvars
 from collections import ChainMap
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import QuillError, TenantError
-from quillspark.sources.entity import Column, Entity, define_entity
+from quillspark.sources.entity import Column, Entity, Relation, define_entity
 
 _tenant: contextvars.ContextVar = contextvars.ContextVar("tenant", default=None)
 
@@ -118,3 +119,47 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, boun
     if key and bounds:
         reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
     return reader.load()
+
+
+def jdbc_write(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, **options: str) -> None:
+    """Rows into a table of another database, a connection for each partition. mode: append, overwrite, ignore or error."""
+    df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode(mode).save()
+
+
+def jdbc_entity(spark: SparkSession, url: str, table: str, schema: str | None = None, **options: str) -> Entity:
+    """An entity from the catalog of another database: columns, primary key, and a many_to_one relation for each foreign key."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        found = connection.getMetaData()
+        key = [name for _, name in sorted(_rows(found.getPrimaryKeys(None, schema, table), ("KEY_SEQ", "COLUMN_NAME")))]
+        foreign: dict[str, list] = {}
+        for constraint, at, own, target in _rows(found.getImportedKeys(None, schema, table), ("FK_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "PKTABLE_NAME")):
+            foreign.setdefault(constraint, []).append((at, own, target))
+    finally:
+        connection.close()
+    entity = introspect(jdbc(spark, url, f"{schema}.{table}" if schema else table, **options), table, key)
+    links = {}
+    for parts in foreign.values():
+        own = tuple(name for _, name, _ in sorted(parts))
+        links[parts[0][2].lower()] = Relation("many_to_one", parts[0][2], own[0] if len(own) == 1 else own)
+    return replace(entity, relations=links)
+
+
+def _rows(result, names: tuple[str, ...]) -> list[tuple]:
+    out = []
+    while result.next():
+        out.append(tuple(int(result.getInt(n)) if n == "KEY_SEQ" else result.getString(n) for n in names))
+    return out
+
+
+def tenant_source(place: str) -> Callable[[SparkSession], DataFrame]:
+    """A schema, a table or a folder of its own for each tenant: ``place`` holds ``{tenant}``. A read without a tenant is an error."""
+
+    def read(spark: SparkSession) -> DataFrame:
+        value = current_tenant()
+        if value is None:
+            raise TenantError(f"{place} is read without a tenant")
+        where = place.format(tenant=value)
+        return spark.read.parquet(where) if "/" in where else spark.table(where)
+
+    return read

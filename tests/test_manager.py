@@ -201,3 +201,15 @@ def test_a_failed_flush_sets_tables_back(em):
         w.persist("team", {"name": "b"})
         w.persist("member", {"nick": "toolong"})
     assert [r["name"] for r in em.find("team")] == ["a"] and em.count("member") == 0
+
+
+def test_tables_in_memory(spark):
+    m = EntityManager(spark, in_memory=True)
+    m.register(define_entity("note", {"id": Column("int", primary=True, generated="increment"), "text": Column("text", checks=(max_length(5),))}))
+    m.insert_many("note", [{"text": "a"}, {"text": "b"}])
+    m.update_many("note", {"id": 2}, {"text": "c"})
+    m.delete("note", {"id": 1})
+    assert m.find("note") == [{"id": 2, "text": "c"}]
+    with pytest.raises(ValidationError), m.transaction() as w:
+        w.persist("note", {"text": "toolong"})
+    assert m.count("note") == 1

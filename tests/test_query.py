@@ -210,3 +210,30 @@ def test_on_between_meets_in_cells(spark):
         assert more.count() == points.join(spans, F.expr("p BETWEEN lo AND hi AND k > 10")).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_another_database(spark, tmp_path):
+    """Derby, which comes with Spark, in memory: write, read in ranges, keys and foreign keys of its catalog."""
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    statement = connection.createStatement()
+    for text in ("CREATE TABLE TEAM (ID INT NOT NULL PRIMARY KEY, NAME VARCHAR(20))", "CREATE TABLE MEMBER (A INT NOT NULL, B INT NOT NULL, TEAM INT REFERENCES TEAM(ID), PRIMARY KEY (B, A))"):
+        statement.execute(text)
+    connection.close()
+    cat.jdbc_write(spark.range(10).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("t"), F.col("id")).alias("NAME")), url, "TEAM")
+    assert cat.jdbc(spark, url, "TEAM", "ID", (0, 10), 3).filter("ID > 6").count() == 3
+    member = cat.jdbc_entity(spark, url, "MEMBER", "APP")
+    assert member.key == ["A", "B"] or member.key == ["B", "A"]
+    assert {k: (r.kind, r.target, r.key) for k, r in member.relations.items()} == {"team": ("many_to_one", "TEAM", "TEAM")}
+
+
+def test_tenants_with_tables_of_their_own(spark, tmp_path):
+    for k in (1, 2):
+        spark.range(k).write.parquet(str(tmp_path / f"t{k}"))
+    c = cat.Catalog(spark)
+    c.register(define_entity("thing", {"id": Column("bigint", primary=True)}), cat.tenant_source(str(tmp_path) + "/t{tenant}"))
+    for k in (1, 2):
+        with cat.tenant(k):
+            assert c.scan("thing").count() == k
+    with pytest.raises(TenantError):
+        c.scan("thing")
