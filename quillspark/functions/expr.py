@@ -864,18 +864,20 @@ def _sample(value):
 
 
 def _holds(text: Column, value) -> Column:
+    """Containment in a JSON text, which each level parses once: objects as maps, arrays as lists, of texts."""
     if isinstance(value, dict):
-        out = F.json_object_keys(text).isNotNull()
+        own = F.from_json(text, "map<string,string>")
+        out = own.isNotNull()
         for k, v in value.items():
-            out = out & _holds(F.get_json_object(text, f"$['{k}']"), v)
+            out = out & _holds(own.getItem(k), v)
         return out
     elements = F.from_json(text, "array<string>")
     if isinstance(value, (list, tuple)):
-        out = F.json_array_length(text).isNotNull()
+        out = elements.isNotNull()
         for v in value:
             out = out & (F.exists(elements, _within(v)) if isinstance(v, (dict, list, tuple)) else _element(elements, v))
         return out
-    return (F.json_array_length(text).isNotNull() & _element(elements, value)) | F.coalesce(_scalar(text, value), F.lit(False))
+    return F.coalesce(_element(elements, value), F.lit(False)) | F.coalesce(_scalar(text, value), F.lit(False))
 
 
 def _scalar(text: Column, value) -> Column:
