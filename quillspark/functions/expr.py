@@ -867,19 +867,23 @@ def _holds(text: Column, value) -> Column:
     """Containment in a JSON text, which each level parses once: objects as maps, arrays as lists, of texts."""
     if isinstance(value, dict):
         own = F.from_json(text, "map<string,string>")
-        out = own.isNotNull()
-        for k, v in value.items():
-            out = out & _holds(own.getItem(k), v)
-        return out
+        # a key that must be null says nothing about whether this is an object; other keys do, and spare a second parse
+        parts = [_holds(own.getItem(k), v) for k, v in value.items()]
+        return _all([own.isNotNull(), *parts] if not parts or None in value.values() else parts)
     elements = F.from_json(text, "array<string>")
     if isinstance(value, (list, tuple)):
-        out = elements.isNotNull()
-        for v in value:
-            out = out & (F.exists(elements, _within(v)) if isinstance(v, (dict, list, tuple)) else _element(elements, v))
-        return out
+        parts = [F.exists(elements, _within(v)) if isinstance(v, (dict, list, tuple)) else _element(elements, v) for v in value]
+        return _all(parts or [elements.isNotNull()])
     return F.coalesce(_element(elements, value), F.lit(False)) | F.coalesce(_scalar(text, value), F.lit(False))
 
 
+def _all(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
 def _scalar(text: Column, value) -> Column:
     if isinstance(value, bool):
         return text == json.dumps(value)
