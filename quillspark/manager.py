@@ -20,12 +20,12 @@ from quillspark.operators import write
 from quillspark.plans.query import SelectQuery
 from quillspark.plans.raw import RawQuery
 from quillspark.plans.where import compile_where
-from quillspark.sources.catalog import Catalog, current_tenant, tenant
+from quillspark.sources.catalog import Catalog, current_tenant, tenant, use_master
 from quillspark.sources.entity import Entity, Relation
 from quillspark.sources.store import Memory, Snapshots
 from quillspark.streaming.batches import Pipeline, batched_rows
 
-OPTIONS = {"where", "select", "order", "take", "skip", "relations", "with_count", "with_deleted", "group_by", "having", "distinct", "without_tenant", "lock"}
+OPTIONS = {"where", "select", "order", "take", "skip", "relations", "with_count", "with_deleted", "group_by", "having", "distinct", "without_tenant", "lock", "use_master"}
 
 
 class Events:
@@ -122,7 +122,8 @@ class EntityManager:
         if source is None:
             if self.root is None:
                 raise QuillError("a manager without root needs a source")
-            source = Snapshots(self.spark, f"{self.root}/{entity.table}", entity.schema())
+            sort = tuple(entity.storage_name(p) for p in entity.indexes[0]) if entity.indexes else ()
+            source = Snapshots(self.spark, f"{self.root}/{entity.table}", entity.schema(), sort)
         return self.catalog.register(entity, source)
 
     def extend(self, plugin) -> Any:
@@ -161,6 +162,9 @@ class EntityManager:
         if unknown:
             raise InvalidQuery(f"unknown options {sorted(unknown)}")
         entity = self.catalog.entity(name)
+        if options.get("use_master"):
+            with use_master():
+                return self.find_df(name, **{k: v for k, v in options.items() if k != "use_master"})
         q = SelectQuery(self.catalog, entity, self.catalog.scan(entity, options.get("with_deleted", False), not options.get("without_tenant", False)).alias(entity.name), entity.name)
         if options.get("where") is not None:
             q = replace(q, scope_={"with_deleted": bool(options.get("with_deleted", False))}).where(options["where"])
@@ -602,6 +606,25 @@ class EntityManager:
         gone = (F.col(r.through_own) == F.lit(key)) & F.col(r.through_other).isin(list(others))
         self._commit(bridge, write.delete(table, gone), version)
 
+    @contextlib.contextmanager
+    def advisory_lock(self, name: str, wait: float = 10.0) -> Iterator[None]:
+        """Hold a named lock among all managers of this root; QuillError if it isn't free within ``wait`` seconds.
+
+        A file under the root that only one can create. One that a dead process
+        has left must be removed by hand.
+        """
+        if self.root is None:
+            raise QuillError("an advisory lock needs a manager with a root")
+        locks, until = Snapshots(self.spark, f"{self.root}/_locks/{name}", None), time.monotonic() + wait
+        while not locks._claim(1, "held"):
+            if time.monotonic() > until:
+                raise QuillError(f"the lock {name!r} is taken")
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            locks._remove("_commits")
+
     @contextlib.contextmanager
     def transaction(self) -> Iterator[WriteBuffer]:
         """A unit of work: committed at the end, forgotten on an error in the block.

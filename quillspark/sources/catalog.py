@@ -31,6 +31,32 @@ def current_tenant():
     return _tenant.get()
 
 
+_primary: contextvars.ContextVar = contextvars.ContextVar("primary", default=False)
+
+
+@contextlib.contextmanager
+def use_master() -> Iterator[None]:
+    """Reads inside take the first place of replicated entities."""
+    token = _primary.set(True)
+    try:
+        yield
+    finally:
+        _primary.reset(token)
+
+
+class Replicated:
+    """A source with replicas: reads go round the replicas, or to the source itself inside use_master()."""
+
+    def __init__(self, source, replicas: tuple):
+        self.source, self.replicas, self.turn = source, tuple(replicas), 0
+
+    def next(self):
+        if _primary.get():
+            return self.source
+        self.turn += 1
+        return self.replicas[(self.turn - 1) % len(self.replicas)]
+
+
 class Catalog:
     """Entities by name, each with a source: a path, a table name, a function of the session, or a DataFrame.
 
@@ -44,8 +70,10 @@ class Catalog:
     def layer(self) -> Catalog:
         return Catalog(self.spark, self.strict, self.entities.new_child())
 
-    def register(self, entity: Entity, source: str | Callable[[SparkSession], DataFrame] | DataFrame | None = None) -> Entity:
-        self.entities[entity.name] = entity, source if source is not None else entity.table
+    def register(self, entity: Entity, source: str | Callable[[SparkSession], DataFrame] | DataFrame | None = None, replicas: tuple = ()) -> Entity:
+        """``replicas``: further places with the same rows, which reads take in turn (see Replicated)."""
+        source = source if source is not None else entity.table
+        self.entities[entity.name] = entity, Replicated(source, replicas) if replicas else source
         return entity
 
     def entity(self, name: str | Entity) -> Entity:
@@ -58,6 +86,8 @@ class Catalog:
     def stored(self, name: str | Entity) -> DataFrame:
         """The table as it is stored."""
         source = self.entities[self.entity(name).name][1]
+        if isinstance(source, Replicated):
+            source = source.next()
         if isinstance(source, DataFrame):
             return source
         if callable(source):

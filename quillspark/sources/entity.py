@@ -112,6 +112,8 @@ class Entity:
     inheritance: Inheritance | None = None
     scopes: dict[str, Callable] = field(default_factory=dict)
     unique: tuple[tuple[str, ...], ...] = ()
+    #: The files of written tables are sorted by the first index, so that Parquet's minima and maxima prune by its columns.
+    indexes: tuple[tuple[str, ...], ...] = ()
 
     @property
     def key(self) -> list[str]:

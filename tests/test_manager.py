@@ -213,3 +213,20 @@ def test_tables_in_memory(spark):
     with pytest.raises(ValidationError), m.transaction() as w:
         w.persist("note", {"text": "toolong"})
     assert m.count("note") == 1
+
+
+def test_locks_replicas_and_indexes(spark, tmp_path):
+    m, other = EntityManager(spark, str(tmp_path)), EntityManager(spark, str(tmp_path))
+    with m.advisory_lock("job"):
+        with pytest.raises(QuillError), other.advisory_lock("job", wait=0.1):
+            pass
+    with other.advisory_lock("job", wait=0.1):
+        pass
+    entity = define_entity("n", {"id": Column("bigint", primary=True)})
+    m.catalog.register(entity, spark.range(1), replicas=(spark.range(2), spark.range(3)))
+    assert [m.count("n") for _ in range(4)] == [2, 3, 2, 3] and len(m.find("n", use_master=True)) == 1
+    m.register(define_entity("k", {"id": Column("int", primary=True), "at": Column("int", "at_col")}, indexes=(("at",),)))
+    m.insert_many("k", spark.range(100).select(F.col("id").cast("int").alias("id"), (F.col("id") * 37 % 100).cast("int").alias("at")).coalesce(1))
+    path = m._store(m.catalog.entity("k"))
+    rows = [r.at_col for r in path.read().coalesce(1).collect()]
+    assert sorted(rows) == list(range(100)) and sum(a > b for a, b in zip(rows, rows[1:], strict=False)) <= spark.sparkContext.defaultParallelism
