@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that are broadcast at most; a longer list is an error, not a silent cut.
-MOST_RULES = 1_000_000
+#: Rules that are broadcast at most, and characters of them together; a longer list is an error, not a silent cut.
+MOST_RULES, MOST_CHARACTERS = 1_000_000, 32_000_000
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,11 @@ class Rule:
         return self.host + self.path
 
 
+def lowered(host: str) -> str:
+    """A-Z lower-cased and nothing else."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (after the first ``://``, A-Z lower-cased) and path of a url; both empty for null or where ``://`` is absent."""
     _, mark, rest = (url or "").partition("://")
@@ -32,7 +37,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
     host, path = rest[:end], rest[end:]
     stop = min((i for i in map(path.find, "?#") if i >= 0), default=len(path))
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path[:stop]
+    return lowered(host), path[:stop]
 
 
 class Trie:
@@ -45,10 +50,12 @@ class Trie:
     def __init__(self, rules: list[Rule]):
         if len(rules) > MOST_RULES:
             raise ValueError(f"{len(rules)} rules exceed the bound of {MOST_RULES}")
+        if sum(len(r.text) for r in rules) > MOST_CHARACTERS:
+            raise ValueError(f"the rules exceed the bound of {MOST_CHARACTERS} characters")
         self.root: dict = {}
         for rule in rules:
             node = self.root
-            for label in reversed(rule.host.split(".")):
+            for label in reversed(lowered(rule.host).split(".")):
                 node = node.setdefault("labels", {}).setdefault(label, {})
             *whole, start = rule.path.split("/")
             node = node.setdefault("paths", {})
@@ -76,7 +83,9 @@ class Trie:
     def _along(node: dict, segments: list[str]) -> Iterator[Rule]:
         for segment in segments:
             starts = node.get("starts", {})
-            if starts:
+            if len(starts) < len(segment):
+                yield from (rule for start, rule in starts.items() if segment.startswith(start))
+            elif starts:
                 for n in range(len(segment) + 1):
                     if (rule := starts.get(segment[:n])) is not None:
                         yield rule
@@ -88,7 +97,8 @@ class Trie:
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each input row: id, host, path, rule (null where none fits), verdict.
 
-    The trie is broadcast; its size is that of the rules, at most MOST_RULES.
+    The trie is broadcast; its size is that of the rules, at most MOST_RULES of
+    MOST_CHARACTERS. Hosts of rules fit whatever the case of their A-Z.
     Urls without a fitting rule take ``default``. Null urls have an empty host
     and path; null ids and repeated rows stay; other columns are ignored.
     """

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quillspark.llm.queries import RULES
 from quillspark.llm.url_rules import Rule, Trie, judge, split_url
 
@@ -35,3 +37,10 @@ def test_edges(spark):
     got = sorted((str(r.page_id), r.rule, r.verdict) for r in judge(docs, RULES).collect())
     assert got == [("1", "example.org/es/", "block"), ("2", None, "allow"), ("3", "example.org/en/1", "block"), ("3", "example.org/en/1", "block"), ("4", "com/fr/", "allow"), ("None", None, "allow")]
     assert judge(docs.limit(0), RULES).collect() == []
+
+
+def test_rule_hosts_in_capitals_and_bounds(monkeypatch):
+    assert Trie([Rule("block", "Example.ORG", "/A")]).longest("w.example.org", "/Ab").text == "Example.ORG/A"
+    monkeypatch.setattr("quillspark.llm.url_rules.MOST_CHARACTERS", 10)
+    with pytest.raises(ValueError):
+        Trie([Rule("block", "example.org", "/")])
