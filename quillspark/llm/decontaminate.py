@@ -113,3 +113,51 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least_it
     text = F.col(text_col).cast("string")
     same = (F.xxhash64(text) == F.col(name["h"])) & F.length(text).eqNullSafe(F.col(name["l"])) & F.col(id_col).eqNullSafe(F.col(name["id"]))
     return docs.join(gone, same, "left_anti")
+
+
+def _shingles(words: Column, size: int) -> Column:
+    """The runs of ``size`` words of an array, each as one text; none if there are fewer."""
+    at = F.sequence(F.lit(1), F.size(words) - size + 1)
+    return F.when(F.size(words) >= size, F.transform(at, lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, item, containment): documents with a window, as long as the item, that holds ``share`` or more of its distinct shingles.
+
+    A prefix-filtered set join: of an item with n shingles of which m must be
+    there, one of the n - m + 1 rarest in all documents is. These prefixes, in
+    broadcast blocks, meet the documents' shingles; then all windows around a
+    meeting are compared whole. containment is the largest share among them.
+
+    One row for each distinct document row and item. Texts and items with fewer
+    words than a shingle have none and take no part, nor do null texts; null ids
+    of documents stay, those of items are left out; repeated items count once.
+    Other columns are ignored; empty tables give no row.
+    """
+    plain = lambda c: F.transform(_words(F.col(c)), _plain)
+    own = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), plain(item_text_col).alias("iw")).select("item", F.size("iw").alias("n"), F.array_distinct(_shingles(F.col("iw"), shingle)).alias("s"))
+    own = own.filter(F.size("s") > 0).distinct().withColumn("need", F.ceil(F.size("s") * F.lit(float(share)) - F.lit(1e-9)).cast("int"))
+    own = stored(own.withColumn("iid", F.monotonically_increasing_id()), "items")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).distinct().select("id", F.xxhash64("text").alias("h"), F.length("text").alias("l"), _shingles(plain("text"), shingle).alias("d"))
+    vocabulary = own.select(F.explode("s").alias("key")).distinct()
+    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).head()[0]
+    seen = texts.select(F.explode("d").alias("key"))
+    counts = (seen.join(F.broadcast(vocabulary), "key") if size <= BLOCK_BYTES else seen.join(vocabulary, "key")).groupBy("key").agg(F.count("*").alias("c"))
+    each = own.select("iid", "need", F.size("s").alias("m"), F.explode("s").alias("key")).join(counts, "key", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "key")))
+    ranked = each.groupBy("iid", "need", "m").agg(order.alias("o")).select("iid", F.explode(F.slice("o", F.lit(1), F.col("m") - F.col("need") + 1)).alias("o"))
+    prefix = stored(ranked.filter("o.c > 0").select("iid", F.col("o.key").alias("key")).join(own, "iid"), "prefixes")
+    weight = F.octet_length("key") + F.octet_length(F.array_join("s", " ")) + 64
+    blocks = max(1, -(-(prefix.agg(F.coalesce(F.sum(weight), F.lit(0))).head()[0]) // BLOCK_BYTES))
+    room = F.greatest(F.size("d") - (F.col("n") - shingle), F.lit(1))  # last window's first shingle; a short text is one window
+    starts = F.sequence(F.greatest(F.col("pos") + 1 - (F.col("n") - shingle), F.lit(1)), F.least(F.col("pos") + 1, room))
+    held = F.transform(starts, lambda a: F.size(F.array_intersect(F.slice("d", a, F.col("n") - shingle + 1), F.col("s"))))
+    found = None
+    for b in range(blocks):
+        part = prefix.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
+        probes = texts.select("id", "h", "l", "d", F.posexplode("d").alias("pos", "key"))
+        met = probes.join(F.broadcast(part), "key").filter((F.size("d") >= F.col("need")) & (F.greatest(F.col("pos") + 1 - (F.col("n") - shingle), F.lit(1)) <= F.least(F.col("pos") + 1, room)))
+        own_rows = met.select("id", "h", "l", "item", F.array_max(held).alias("k"), "need", F.size("s").alias("m")).filter("k >= need")
+        found = own_rows if found is None else found.unionAll(own_rows)
+    best = found.groupBy("id", "h", "l", "item").agg(F.max(F.col("k") / F.col("m")).alias("containment"))
+    return best.select(F.col("id").alias(id_col), "item", "containment")

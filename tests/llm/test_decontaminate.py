@@ -64,3 +64,42 @@ def test_made_cases(spark, monkeypatch):
 def test_no_python_in_the_plan(spark):
     plan = queries.op10_decontaminate(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def brute_contained(docs, items, share=0.8, k=5):
+    runs = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = set()
+    for i, t in docs:
+        w = words(t)
+        for j, u in items:
+            x = words(u)
+            s = runs(x)
+            if j is None or not s or len(w) < k:
+                continue
+            best = max(len(s & runs(w[a : a + len(x)])) for a in range(max(1, len(w) - len(x) + 1)))
+            if best >= share * len(s) - 1e-9:
+                out.add((i, j, round(best / len(s), 9)))
+    return out
+
+
+def test_containment_in_windows_of_an_items_size(spark, monkeypatch):
+    """Items copied with words changed, cut, moved to the ends of texts and repeated, against all windows."""
+    r = random.Random(9)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(f"i{n}", " ".join(r.choice(vocab) for _ in range(r.randint(1, 40)))) for n in range(25)] + [(None, "v1 v2 v3 v4 v5 v6"), ("i3", "x"), ("empty", None)]
+    docs = [(n, " ".join(r.choice(vocab) for _ in range(r.randint(0, 120)))) for n in range(30)]
+    for n in range(30, 130):
+        w = words(r.choice(items[:25])[1])
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        w = w[: r.choice([len(w), max(1, len(w) - 2)])]
+        docs.append((n, " ".join([*r.choices(vocab, k=r.choice([0, 0, 3, 60])), *w, *r.choices(vocab, k=r.choice([0, 0, 5]))]).title()))
+    docs += [(200, None), (None, items[4][1]), (30, docs[30][1])]
+    make = lambda rows, ids: spark.createDataFrame([(*x, "s", 1) for x in rows], f"{ids}, text string, item string, n int").repartition(3)
+    d, i = make(docs, "doc_id long"), make(items, "item_id string")
+    for share, size in ((0.8, 4 << 20), (0.5, 20_000)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = {(x.doc_id, x.item, round(x.containment, 9)) for x in decontaminate.contained_items(d, i, share).collect()}
+        want = brute_contained(docs, items, share)
+        assert got == want and len(want) > 20
+    assert decontaminate.contained_items(d.limit(0), i).collect() == [] and decontaminate.contained_items(d, i.limit(0)).collect() == []
