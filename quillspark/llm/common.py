@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -102,5 +104,14 @@ def helper_names(df: DataFrame, *wanted: str) -> dict[str, str]:
     return made
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, so that the driver doesn't keep the peak of each training."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

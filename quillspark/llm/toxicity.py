@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import as_bytes, sized
+from quillspark.llm.common import as_bytes, release_memory, sized
 
 BUCKETS = 1 << 20
 #: Labelled documents that training sees at most, of each label; taken by a hash of their id.
@@ -253,15 +253,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"), lang.alias("_l"))
     rows = slim.join(F.broadcast(sample), "_id").select("_id", "_y", "_l", "_t").toArrow().sort_by("_id")
-    texts = [word_buckets(t) for t in rows["_t"].to_pylist()]
-    y = np.array(rows["_y"].to_pylist(), dtype=np.float64)
+    # one text at a time, and the rows go before training begins: the driver holds buckets only
+    texts = [word_buckets(t.as_py()) for t in rows["_t"]]
+    y, langs = np.array(rows["_y"].to_pylist(), dtype=np.float64), rows["_l"].to_pylist()
+    del rows
+    release_memory()
     model, parts, z = _trained(texts, y)
+    del texts
     if parts:
         rest = sized(known.filter(F.col("_y").isin(0, 1)).join(F.broadcast(sample.select("_id")), "_id", "left_anti"), "rest")
         more = _counted(slim.join(rest, "_id"), parts).toArrow()
         z = np.concatenate([z, (more["at"].to_numpy() + 0.5) / STEPS])
         weight = np.concatenate([np.ones(len(y)), more["c"].to_numpy()])
-        _calibrate(model, z, np.concatenate([y, more["_y"].to_numpy()]), rows["_l"].to_pylist() + more["_l"].to_pylist(), weight)
+        _calibrate(model, z, np.concatenate([y, more["_y"].to_numpy()]), langs + more["_l"].to_pylist(), weight)
+    release_memory()
     return model
 
 
