@@ -104,8 +104,10 @@ def helper_names(df: DataFrame, *wanted: str) -> dict[str, str]:
     return made
 
 
-def release_memory() -> None:
-    """Give freed memory back to the system, so that the driver doesn't keep the peak of each training."""
+def release_memory(spark: SparkSession | None = None) -> None:
+    """Give freed memory back to the system, so that the driver doesn't keep the peak of each training; with a session, the JVM's heap too."""
+    if spark is not None:
+        spark._jvm.java.lang.System.gc()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only

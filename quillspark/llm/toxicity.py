@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     texts = [word_buckets(t.as_py()) for t in rows["_t"]]
     y, langs = np.array(rows["_y"].to_pylist(), dtype=np.float64), rows["_l"].to_pylist()
     del rows
-    release_memory()
+    release_memory(docs.sparkSession)
     model, parts, z = _trained(texts, y)
     del texts
     if parts:
