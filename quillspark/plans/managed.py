@@ -180,8 +180,8 @@ def take_skip(t):
 
 @twin("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def keyset_batches(t):
-    rows = [r for batch in Pipeline(t.frame("orders").filter("o_orderstatus = 'P'")).keyset_batches("o_totalprice", "o_orderkey", 60) for r in batch]
-    return told(t, rows, "o_orderkey long")
+    p = Pipeline(t.frame("orders").filter("o_orderstatus = 'P'"))
+    return p.keyset_map("o_totalprice", "o_orderkey", lambda page: [{"o_orderkey": r["o_orderkey"]} for r in page], "o_orderkey long", 60).df
 
 
 @twin("SELECT s_suppkey FROM supplier")

@@ -169,6 +169,30 @@ def test_pipeline(spark):
     assert [len(b) for b in p.keyset_batches("id", "id", 10)] == [10, 10, 5] and [len(b) for b in p.offset_batches(["id"], 20)] == [20, 5]
 
 
+def _queries_of(spark, group, f):
+    """Jobs that f starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_keyset_pages_from_one_sort(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 5)) for i in range(230)] + [(3, 3.0)] * 25
+    p = Pipeline(spark.createDataFrame(rows, "id long, v double").repartition(5))
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    pages, jobs = _queries_of(spark, "keyset", lambda: list(p.keyset_batches("v", "id", 10)))
+    assert [(r["id"], r["v"]) for page in pages for r in page] == want and [len(x) for x in pages] == [10] * 25 + [5] and jobs < 15
+    whole = lambda page: [{"n": len(page), "ids": [r["id"] for r in page]}]
+    made = p.keyset_map("v", "id", whole, "n int, ids array<long>", 10).collect()
+    assert sorted(m["ids"] for m in made) == sorted([r["id"] for r in x] for x in pages) and sum(m["n"] == 10 for m in made) == 25
+    assert Pipeline(p.df.filter("id < 0")).keyset_map("v", "id", whole, "n int, ids array<long>", 10).count() == 0
+    with pytest.raises(ValueError):
+        p.keyset_map("v", "id", whole, "n int, ids array<long>", 0)
+
+
 def test_streamed_windows(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type")
     events.write.parquet(str(tmp_path / "in"))
