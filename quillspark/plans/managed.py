@@ -186,7 +186,7 @@ def keyset_batches(t):
 
 @twin("SELECT s_suppkey FROM supplier")
 def offset_batches(t):
-    return told(t, [r for batch in Pipeline(t.frame("supplier")).offset_batches(["s_suppkey"], 40) for r in batch], "s_suppkey long")
+    return Pipeline(t.frame("supplier")).offset_map(["s_suppkey"], lambda page: [{"s_suppkey": r["s_suppkey"]} for r in page], "s_suppkey long", 40).df
 
 
 @twin("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer WHERE c_nationkey = 2 AND c_acctbal > 0")

@@ -102,20 +102,17 @@ class Pipeline:
         return batched_rows(self.df.orderBy(*self._keyset(order, key)), size)
 
     def offset_batches(self, order: list[str], size: int = 1000) -> Iterator[list[dict]]:
-        """Pages by LIMIT and OFFSET. Each one sorts again; raw() scans once and is the better choice."""
-        at = 0
-        while True:
-            rows = [r.asDict(recursive=True) for r in self.df.orderBy(*order).offset(at).limit(size).collect()]
-            if rows:
-                yield rows
-            if len(rows) < size:
-                return
-            at += size
+        """The pages that LIMIT and OFFSET give, from one sort."""
+        return batched_rows(self.df.orderBy(*order), size)
 
     def keyset_map(self, order: str, key: str, f: Callable[[list[dict]], list[dict]], schema: str, size: int = 1000) -> Pipeline:
         """What f makes of each page of keyset_batches. It runs on the executors, so no page comes to the driver."""
         return self._map_pages(self._keyset(order, key), f, schema, size)
 
+    def offset_map(self, order: list[str], f: Callable[[list[dict]], list[dict]], schema: str, size: int = 1000) -> Pipeline:
+        """What f makes of each page of offset_batches. It runs on the executors, so no page comes to the driver."""
+        return self._map_pages(order, f, schema, size)
+
     def _map_pages(self, order: list[str | Column], f: Callable[[list[dict]], list[dict]], schema: str, size: int) -> Pipeline:
         if size < 1:
             raise ValueError("a batch has one row at least")

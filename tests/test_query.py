@@ -193,6 +193,16 @@ def test_keyset_pages_from_one_sort(spark):
         p.keyset_map("v", "id", whole, "n int, ids array<long>", 0)
 
 
+def test_offset_pages_from_one_sort(spark):
+    p = Pipeline(spark.createDataFrame([(i * 37 % 211, i % 3) for i in range(211)], "id long, k int").repartition(5))
+    pages, jobs = _queries_of(spark, "offset", lambda: list(p.offset_batches(["id"], 10)))
+    assert [[r["id"] for r in x] for x in pages] == [list(range(i, min(i + 10, 211))) for i in range(0, 211, 10)] and jobs < 15
+    made = p.offset_map(["id"], lambda page: [{"ids": [r["id"] for r in page]}], "ids array<long>", 10).collect()
+    assert sorted(m["ids"] for m in made) == [[r["id"] for r in x] for x in pages]
+    tied = p.offset_map(["k"], lambda page: [{"id": r["id"], "n": len(page)} for r in page], "id long, n int", 10).collect()
+    assert sorted(r["id"] for r in tied) == list(range(211)) and sum(r["n"] == 10 for r in tied) == 210
+
+
 def test_streamed_windows(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type")
     events.write.parquet(str(tmp_path / "in"))
