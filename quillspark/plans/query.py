@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import EntityNotFound, InvalidQuery
 from quillspark.functions.expr import Agg, Expr, as_expr, column, order_of
-from quillspark.operators import paging, relations
+from quillspark.operators import ordered_sets, paging, relations
 from quillspark.operators.range_join import range_join
 from quillspark.plans.where import compare, compile_where, relation_filter
 from quillspark.sources.entity import Entity
@@ -436,7 +436,10 @@ class SelectQuery:
         if self.keys or self.aggregates:
             keys = [_named(k) for k in self.keys]
             grouped = (df.rollup if self.rollup_ else df.groupBy)(*keys)
-            df = grouped.agg(*[column(a) for a in self.aggregates]) if self.aggregates else grouped.agg(F.lit(1).alias("__one")).drop("__one")
+            if self.aggregates and not self.rollup_:
+                df = ordered_sets.aggregate(df, keys, self.aggregates)
+            else:
+                df = grouped.agg(*[column(a) for a in self.aggregates]) if self.aggregates else grouped.agg(F.lit(1).alias("__one")).drop("__one")
             if self.having_ is not None:
                 df = df.filter(self.having_)
         for step in self.after:
